@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemill.plans import events
+from tidemill.plans import events, skewed_keys
 
-REGISTRIES = [events.REGISTRY]
+REGISTRIES = [events.REGISTRY, skewed_keys.REGISTRY]
