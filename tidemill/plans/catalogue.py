@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemill.plans import events, skewed_keys
+from tidemill.plans import customers, events, skewed_keys
 
-REGISTRIES = [events.REGISTRY, skewed_keys.REGISTRY]
+REGISTRIES = [events.REGISTRY, skewed_keys.REGISTRY, customers.REGISTRY]
