@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemill.plans import customers, events, skewed_keys
+from tidemill.plans import customers, events, menus, skewed_keys
 
-REGISTRIES = [events.REGISTRY, skewed_keys.REGISTRY, customers.REGISTRY]
+REGISTRIES = [events.REGISTRY, skewed_keys.REGISTRY, customers.REGISTRY, menus.REGISTRY]
