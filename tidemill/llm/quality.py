@@ -41,7 +41,7 @@ def statistics(documents: DataFrame, words: CommonWords) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = describe(batch["text"], batch["lang"], words).docs
-            share = lambda a, b: pa.array(np.round(a / np.maximum(b, 1), 6), mask=b == 0)
+            share = lambda a, b: pa.array(a / np.maximum(b, 1), mask=b == 0)
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], pa.array(s["words"]), share(s["word_chars"], s["words"]), share(s["symbols"], s["visible"]), share(s["stopped"], s["lines"]), share(s["common"], s["words"])],
                 ["doc_id", "words", "mean_word_length", "symbol_share", "stopped_share", "common_share"],
@@ -136,8 +136,8 @@ with d as (
     len(list_filter(w, lambda x: list_contains(coalesce(c.ws, a.ws), lower(x)))) common
   from d left join c using (lang), a
 )
-select doc_id, words, round(case when words > 0 then word_chars / words end, 6) mean_word_length, round(case when visible > 0 then (visible - word_chars) / visible end, 6) symbol_share,
-  round(case when lines > 0 then stopped / lines end, 6) stopped_share, round(case when words > 0 then common / words end, 6) common_share from s"""
+select doc_id, words, case when words > 0 then word_chars / words end mean_word_length, case when visible > 0 then (visible - word_chars) / visible end symbol_share,
+  case when lines > 0 then stopped / lines end stopped_share, case when words > 0 then common / words end common_share from s"""
 
 
 @REGISTRY.add("p9_statistics", SQL_STATS)
