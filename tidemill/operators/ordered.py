@@ -53,9 +53,15 @@ def with_rank(placed: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Add bigint ``name``: the row's rank, from 0, within its ``keys`` (not null), in the order of ``ranged``.
 
     Rows of a key before this range are counted per range (one row a key and range), summed, and added to
-    the rank within the range. A range holds few keys at its edges in common with others, so the counts
+    the rank within the range. Without keys, ranks run over all rows. A range holds few keys at its edges in common with others, so the counts
     number as ranges and keys together.
     """
+    if not keys:
+        counts = placed.groupBy("_range").agg(F.count("*").alias("_c"), F.min("_place").alias("_first"))
+        before = F.sum("_c").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+        # one row a range
+        offsets = F.broadcast(counts.select("_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift")))
+        return placed.join(offsets, "_range").withColumn(name, F.col("_place") + F.col("_shift")).drop("_shift")
     counts = placed.groupBy(*keys, "_range").agg(F.count("*").alias("_c"), F.min("_place").alias("_first"))
     before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*keys, "_range", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_shift"))

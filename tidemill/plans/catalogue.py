@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemill.plans import customers, events, menus, skewed_keys
+from tidemill.plans import customers, events, gold, menus, relational, skewed_keys
 
-REGISTRIES = [events.REGISTRY, skewed_keys.REGISTRY, customers.REGISTRY, menus.REGISTRY]
+REGISTRIES = [m.REGISTRY for m in (skewed_keys, events, menus, customers, relational, gold)]
