@@ -49,6 +49,11 @@ def rank_bounds(df: DataFrame, column: str, bits: int = RANK_BITS) -> list:
     return sorted(set(found or []))
 
 
+def _not_above(value: Column):
+    """For a filter over at most 2**bits - 1 bounds."""
+    return lambda bound: bound <= value
+
+
 def zorder(df: DataFrame, columns: list[str], files: int | None = None, bits: int = RANK_BITS) -> DataFrame:
     """``df`` clustered by several columns at once: sorted along a Z-order curve of their ranks, in even ranges.
 
@@ -59,8 +64,7 @@ def zorder(df: DataFrame, columns: list[str], files: int | None = None, bits: in
     for c in columns:
         bounds = rank_bounds(df, c, bits)
         edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{dict(df.dtypes)[c]}>")
-        # bounds rise, so those not above the value are counted by a filter over at most 2**bits - 1 of them
-        ranks.append(F.coalesce(F.size(F.filter(edges, lambda b, c=c: b <= F.col(c))), F.lit(0)))
+        ranks.append(F.coalesce(F.size(F.filter(edges, _not_above(F.col(c)))), F.lit(0)))
     keyed = df.withColumn("_z", interleave(ranks, bits))
     return keyed.repartitionByRange(files or parallelism(df.sparkSession), "_z").sortWithinPartitions("_z").drop("_z")
 
