@@ -12,7 +12,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     """Great-circle distance in km between two points in degrees; null if any of them is."""
     half = lambda a, b: F.pow(F.sin((F.radians(b) - F.radians(a)) / 2), 2)
     h = half(lat1, lat2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon1, lon2)
-    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.when(h > 1, 1.0).otherwise(h)))
 
 
 def interpolate(a: Column, b: Column, share: Column) -> Column:

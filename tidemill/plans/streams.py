@@ -24,7 +24,7 @@ def sql_speed(source: str) -> str:
     h = "pow(sin((radians(lat) - radians(la)) / 2), 2) + cos(radians(la)) * cos(radians(lat)) * pow(sin((radians(lon) - radians(lo)) / 2), 2)"
     return f"""with p as (select *, event_us - ((event_us % 300000000) + 300000000) % 300000000 w from ({source}) where driver_id is not null and event_us is not null),
 l as (select *, lag(lat) over o la, lag(lon) over o lo from p window o as (partition by driver_id, w order by event_us, sequence_number nulls first, event_id nulls first, lat nulls first, lon nulls first)),
-k as (select driver_id, w, count(*) pings, sum(coalesce(2 * 6371.0::double * asin(sqrt(least({h}, 1.0))), 0)) km, max(event_us) - min(event_us) span from l group by 1, 2)
+k as (select driver_id, w, count(*) pings, sum(coalesce(2 * 6371.0::double * asin(sqrt(case when {h} > 1 then 1.0 else {h} end)), 0)) km, max(event_us) - min(event_us) span from l group by 1, 2)
 select w + 300000000 window_end_us, driver_id, pings, round(case when span > 0 then km / (span / 3600000000.0::double) else 0 end, 1) avg_speed_kmh from k where pings >= 2"""
 
 
