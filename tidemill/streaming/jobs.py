@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.functions.text import clock_micros, tidy_upper
+from tidemill.functions.text import clock_micros, tidy, tidy_upper
 from tidemill.operators.late import CUTOFF_S, PERIOD_S, combine, partials
 from tidemill.session import ensure_checkpoint_dir
 from tidemill.streaming.pings import MESSAGE
@@ -38,7 +38,7 @@ def kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
 
 def decoded(messages: DataFrame) -> DataFrame:
     us = clock_micros("event_time")
-    return messages.withColumns({"event_us": us, "sent_us": clock_micros("sent_at"), "event_time": F.timestamp_micros(us), "driver_id": F.when(F.col("driver_id") == FLUSH_DRIVER, F.col("driver_id")).otherwise(tidy_upper("driver_id"))})
+    return messages.withColumns({"event_id": tidy("event_id"), "event_us": us, "sent_us": clock_micros("sent_at"), "event_time": F.timestamp_micros(us), "driver_id": F.when(F.col("driver_id") == FLUSH_DRIVER, F.col("driver_id")).otherwise(tidy_upper("driver_id"))})
 
 
 def flush_message(spark: SparkSession, folder: str) -> None:
