@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.session import parallelism
+
 WORD = 64
 #: Bits of the hash; a bitmap can't be larger.
 HASH_BITS = 48
@@ -70,14 +72,14 @@ def estimates(parts: DataFrame, keys: list[str], cube: list[str] | None = None)
     The estimate is -bits * ln(share of empty bits); relative_error is its standard error at that load, and
     both are null for a bitmap without an empty bit. With ``cube``, ``combination`` is the number whose bits
     (the first column highest) are 1 for the columns left out; a null under a column that is not left out is a
-    group of its own. Words are united per group before the shuffle, in one pass for all combinations.
+    group of its own. The words are brought together by word once, for all combinations.
     """
     own = list(keys)
     if cube:
-        plain = ", ".join(f"`{c}`" for c in [*own, "identifier", "bits", "word"])
-        cubed = ", ".join(f"`{c}`" for c in cube)
-        left_out = " + ".join(f"{1 << (len(cube) - 1 - i)} * grouping(`{c}`)" for i, c in enumerate(cube))
-        merged = parts.sparkSession.sql(f"select {plain}, {cubed}, cast({left_out} as int) combination, bit_or(mask) mask from {{parts}} group by {plain}, cube({cubed})", parts=parts)
+        # all groups of a word meet where the word is: the exchange by word serves every combination
+        sets = [F.struct(*[(F.lit(None) if n >> (len(cube) - 1 - i) & 1 else F.col(c)).cast(dict(parts.dtypes)[c]).alias(c) for i, c in enumerate(cube)], F.lit(n).alias("combination")) for n in range(1 << len(cube))]
+        placed = parts.repartition(parallelism(parts.sparkSession), "identifier", "word")
+        merged = placed.select(*own, "identifier", "bits", "word", "mask", F.inline(F.array(*sets))).groupBy(*own, "identifier", "bits", "word", *cube, "combination").agg(F.bit_or("mask").alias("mask"))
         own += [*cube, "combination"]
     else:
         merged = merge(parts, own)
