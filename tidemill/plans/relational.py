@@ -13,7 +13,7 @@ from tidemill.operators.sized import skew_join
 from tidemill.operators.skew import merge_join, salted_join
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
-from tidemill.sources.tables import table
+from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
 
@@ -111,7 +111,7 @@ for _ in range(100):
 )
 def integrity_hash_by_city(spark: SparkSession, folder: str) -> DataFrame:
     """A hundred rounds of SHA-256 on every joined row; the dimension is a literal of eight rows, so it is broadcast."""
-    joined = _by_city(spark, folder).join(F.broadcast(_cities(spark)), "delivery_city")
+    joined = spread(_by_city(spark, folder)).join(F.broadcast(_cities(spark)), "delivery_city")
     hashed = joined.withColumn("h", integrity_hash([F.col("order_id"), F.col("total_amount"), F.col("bps")]))
     return hashed.groupBy("delivery_city").agg(F.count("*").alias("orders"), F.min("h").alias("least_hash"))
 
