@@ -12,7 +12,7 @@ from tidemill.llm.tokens import sized
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
 from tidemill.session import cut
-from tidemill.sources.tables import table
+from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
 
@@ -22,7 +22,8 @@ SQL_TOKENS = rf"coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{
 
 
 def packed(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(sized(table(spark, folder, "documents"), ["doc_id"]), table(spark, folder, "pack_capacities"))
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
+    return pack(sized(documents, ["doc_id"]), table(spark, folder, "pack_capacities"))
 
 
 @REGISTRY.add("p7_found", f"select capacity_tokens, doc_id from (select doc_id, {SQL_TOKENS} n from documents) d join pack_capacities c on d.n > c.capacity_tokens")
@@ -46,7 +47,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sourced(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    documents = table(spark, folder, "documents").select("doc_id", tidy("source").alias("source"), "text")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "source", "text")).withColumn("source", tidy("source"))
     targets = table(spark, folder, "mix_targets").select(tidy("source").alias("source"), "target_share", "max_repeats")
     return sized(documents, ["doc_id", "source"]), targets
 

@@ -15,7 +15,7 @@ from tidemill.llm.hmm import STATES, LineModel, fit, shares
 from tidemill.llm.linestats import SIZES, CommonWords, describe
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
-from tidemill.sources.tables import table
+from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
 #: Labelled texts that the model is fitted on, at most, and lines that one of them may have to be taken.
@@ -108,7 +108,7 @@ def label_shares(documents: DataFrame, model: LineModel | None, words: CommonWor
 
 
 def labelled(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"))
     words = common_words(table(spark, folder, "common_words"))
     return label_shares(documents, train(documents, table(spark, folder, "page_labels"), words), words)
 
@@ -142,4 +142,4 @@ select doc_id, words, case when words > 0 then word_chars / words end mean_word_
 
 @REGISTRY.add("p9_statistics", SQL_STATS)
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return statistics(table(spark, folder, "documents"), common_words(table(spark, folder, "common_words")))
+    return statistics(spread(table(spark, folder, "documents").select("doc_id", "text", "lang")), common_words(table(spark, folder, "common_words")))
