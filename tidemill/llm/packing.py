@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.operators.ordered import ranged, with_rank
-from tidemill.session import cut
+from tidemill.session import cut as cut_lineage
 
 #: Length buckets of each capacity.
 BUCKETS = 64
@@ -29,19 +29,23 @@ def length_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKE
     cost = lengths * total[1:] - mass[1:]  # one bucket for the first j + 1 lengths
     cuts = np.zeros((buckets, n), np.int64)
     for k in range(1, buckets):
-        new = np.empty(n)
-        spans = [(0, n - 1, 0, n - 1)]
-        while spans:
-            lo, hi, a, b = spans.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            at = np.arange(a, min(b, j) + 1)  # the last bucket holds lengths at..j
-            head = np.where(at > 0, cost[at - 1], 0.0)
-            whole = head + lengths[j] * (total[j + 1] - total[at]) - (mass[j + 1] - mass[at])
-            best = int(np.argmin(whole))
-            new[j], cuts[k, j] = whole[best], at[best]
-            spans += [(lo, j - 1, a, int(at[best])), (j + 1, hi, int(at[best]), b)]
+        head, new = np.concatenate([[0.0], cost[:-1]]), np.empty(n)
+        # all halves of a level at once: each solves its middle over the cuts its neighbours leave it
+        lo, hi, a, b = (np.array([x]) for x in (0, n - 1, 0, n - 1))
+        while lo.size:
+            mid = (lo + hi) // 2
+            width = np.minimum(b, mid) - a + 1
+            start = np.concatenate([[0], np.cumsum(width)[:-1]])
+            part, last = np.repeat(np.arange(mid.size), width), np.repeat(mid, width)
+            at = np.arange(part.size) - (start - a)[part]  # the last bucket holds lengths at..last
+            whole = head[at] + lengths[last] * (total[last + 1] - total[at]) - (mass[last + 1] - mass[at])
+            best = np.minimum.reduceat(whole, start)
+            hits = np.flatnonzero(whole == best[part])
+            cut = at[hits[np.unique(part[hits], return_index=True)[1]]]
+            new[mid], cuts[k, mid] = best, cut
+            lo, hi, a, b = (np.concatenate(x) for x in ((lo, mid + 1), (mid - 1, hi), (a, cut), (cut, b)))
+            some = lo <= hi
+            lo, hi, a, b = lo[some], hi[some], a[some], b[some]
         cost = new
     bounds, j = [], n - 1
     for k in range(buckets - 1, -1, -1):
@@ -91,7 +95,7 @@ def pack(documents: DataFrame, capacities: DataFrame, buckets: int = BUCKETS, to
     """
     spark = documents.sparkSession
     sizes = [r[0] for r in capacities.where("capacity_tokens >= 1").select("capacity_tokens").distinct().orderBy("capacity_tokens").collect()]
-    held = cut(documents.where("tokens > 0 and doc_id is not null").select("doc_id", F.col("tokens").cast("bigint").alias("all_tokens")))
+    held = cut_lineage(documents.where("tokens > 0 and doc_id is not null").select("doc_id", F.col("tokens").cast("bigint").alias("all_tokens")))
     each = held.withColumn("capacity_tokens", F.explode(F.array(*[F.lit(c).cast("bigint") for c in sizes]) if sizes else F.array().cast("array<bigint>")))
     each = each.withColumns({"full": F.expr("all_tokens div capacity_tokens"), "rest": F.expr("all_tokens % capacity_tokens")})
     each = each.withColumn("pieces", F.col("full") + (F.col("rest") > 0).cast("bigint"))
