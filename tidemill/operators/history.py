@@ -9,8 +9,8 @@ from tidemill.operators.ordered import ranged, with_neighbour
 
 
 def hash_diff(cols: list[str]) -> Column:
-    """A digest of attributes; null differs from every text, and texts can't run into each other."""
-    return F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    """A digest (16 bytes) of attributes; null differs from every text, and texts can't run into each other."""
+    return F.unhex(F.md5(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).cast("binary")))
 
 
 def moments(readings: DataFrame, key: str, at: str, cols: list[str], priority: list[Column]) -> DataFrame:

@@ -12,14 +12,16 @@ from tidemill.session import cut, parallelism
 RANGE_ROWS = 1_000_000
 
 
-def ranged(df: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def ranged(df: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
     """``df`` sorted by ``order`` in ranges of even size, kept in the shared folder, with its place.
 
     ``_range`` numbers the ranges in order and ``_place`` the rows: both rise along the order. The ranges are cut
     by the whole order, so a key with a third of all rows covers a third of them. Since ranges are drawn
-    from a sample, the result is kept, not made anew by each reader.
+    from a sample, the result is kept, not made anew by each reader. ``rows`` is a bound of the number of rows
+    that is cheaper to have than their count.
     """
-    ranges = max(parallelism(df.sparkSession), -(-df.count() // range_rows))
+    rows = df.count() if rows is None else rows
+    ranges = max(parallelism(df.sparkSession), -(-rows // range_rows))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     placed = df.repartitionByRange(ranges, *cols).sortWithinPartitions(*cols).withColumn("_place", F.monotonically_increasing_id())
     return cut(placed.withColumn("_range", F.shiftright("_place", 33).cast("int")))
