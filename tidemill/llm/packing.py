@@ -11,7 +11,7 @@ from tidemill.operators.ordered import ranged, with_rank
 from tidemill.session import cut as cut_lineage
 
 #: Length buckets of each capacity.
-BUCKETS = 64
+BUCKETS = 128
 
 
 def length_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
