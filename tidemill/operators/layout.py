@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemill.session import parallelism
 
 TARGET_MB = 128
-#: Bits of each column in the curve's key, and the values that the column's ranks are drawn from.
-RANK_BITS = 8
+#: Bits of each column in the curve's key: a column is cut in 2**RANK_BITS even parts.
+RANK_BITS = 6
 
 
 def compact(spark: SparkSession, source: str, target: str, target_mb: int = TARGET_MB) -> int:
@@ -49,9 +49,16 @@ def rank_bounds(df: DataFrame, column: str, bits: int = RANK_BITS) -> list:
     return sorted(set(found or []))
 
 
-def _not_above(value: Column):
-    """For a filter over at most 2**bits - 1 bounds."""
-    return lambda bound: bound <= value
+def rank_of(value: Column, bounds: list) -> Column:
+    """How many of the rising bounds are at or below the value: a tree of comparisons, six deep for 63 bounds."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value < F.lit(bounds[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return F.when(value.isNull(), F.lit(0)).otherwise(tree(0, len(bounds)))
 
 
 def zorder(df: DataFrame, columns: list[str], files: int | None = None, bits: int = RANK_BITS) -> DataFrame:
@@ -62,9 +69,7 @@ def zorder(df: DataFrame, columns: list[str], files: int | None = None, bits: in
     """
     ranks = []
     for c in columns:
-        bounds = rank_bounds(df, c, bits)
-        edges = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast(f"array<{dict(df.dtypes)[c]}>")
-        ranks.append(F.coalesce(F.size(F.filter(edges, _not_above(F.col(c)))), F.lit(0)))
+        ranks.append(rank_of(F.col(c), rank_bounds(df, c, bits)))
     keyed = df.withColumn("_z", interleave(ranks, bits))
     return keyed.repartitionByRange(files or parallelism(df.sparkSession), "_z").sortWithinPartitions("_z").drop("_z")
 

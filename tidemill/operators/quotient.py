@@ -15,6 +15,8 @@ from tidemill.session import parallelism
 #: Identifiers that one shard's table is sized for, and rows that one local table takes at most.
 SHARD_ROWS = 1_000_000
 LOCAL_ROWS = 500_000
+#: Bytes of carried columns after which a local table is closed, however few rows it holds.
+LOCAL_BYTES = 64 << 20
 #: Leading bits of the permuted identifier that name the shard; the table's slots come from the bits after them.
 SHARD_BITS = 24
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
@@ -127,7 +129,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
-        if sum(b.num_rows for b in held) >= rows:
+        if sum(b.num_rows for b in held) >= rows or sum(b.nbytes for b in held) >= LOCAL_BYTES:
             yield pa.Table.from_batches(held)
             held = []
     if held:
@@ -185,7 +187,9 @@ def quotient_dedup(df: DataFrame, identifier: str, order: dict[str, Column], car
     copies it sees; only one row an identifier and table goes on, so an identifier with a third of all rows
     costs its shard no more than a row for every such table. The survivors go to the shard that the leading
     bits of the permuted identifier name (shards are sized by the number of rows), where the rest is settled
-    by a table that stores every remaining bit. Rows settled already travel to evenly spread shards.
+    by a table that stores every remaining bit. Rows settled already travel to evenly spread shards. A shard
+    holds what it carries of its rows until it is settled: carry keys, and join wide columns to them, or
+    lower ``shard_rows``.
     """
     own = ["_id", "_upper", "_lower", "_wide", "_state", "_spread", "_shard", *[f"_o_{name}" for name in order]]
     if clash := {c.lower() for c in carry} & {c.lower() for c in [*own, "is_kept"]}:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.ordered import ranged, with_rank
 from tidemill.operators.sized import skew_join
+from tidemill.session import cut
 
 
 def surrogate_keys(df: DataFrame, name: str, order: list[str]) -> DataFrame:
@@ -17,7 +18,7 @@ def surrogate_keys(df: DataFrame, name: str, order: list[str]) -> DataFrame:
 
 def initial_load(df: DataFrame, key: str, surrogate: str, as_of: Column) -> DataFrame:
     """A dimension's first load: one current version per row of ``df``, with open validity from ``as_of`` on."""
-    numbered = surrogate_keys(df, surrogate, [key])
+    numbered = surrogate_keys(cut(df), surrogate, [key])  # ranges look at their input several times
     return numbered.withColumns({"valid_from_ts": as_of, "valid_to_ts": F.lit(None).cast("timestamp_ntz"), "is_current": F.lit(True)})
 
 

@@ -9,7 +9,7 @@ from tidemill.functions.text import clock_micros, micros_to_ntz, second_text, ti
 from tidemill.operators.late import combine, partials
 from tidemill.operators.quotient import quotient_dedup
 from tidemill.plans.registry import Registry
-from tidemill.sources.tables import table
+from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
 
@@ -43,7 +43,7 @@ def deduplicated(events: DataFrame, carry: list[str]) -> DataFrame:
 
 @REGISTRY.add("p3_found", SQL_RANKED + " select _kafka_partition, _kafka_offset from k where rn > 1")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    events = table(spark, folder, "raw_delivery_events")
+    events = spread(table(spark, folder, "raw_delivery_events").select("event_id", "sent_at", "_kafka_partition", "_kafka_offset"))
     return deduplicated(events, ["_kafka_partition", "_kafka_offset"]).where("not is_kept").drop("is_kept")
 
 
@@ -52,13 +52,13 @@ KEPT = ["event_id", "order_id", "driver_id", "event_type", "event_time", "sent_a
 
 @REGISTRY.add("p3_kept_messages", SQL_RANKED + f" select {', '.join(KEPT)} from k where rn = 1")
 def p3_kept_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return deduplicated(table(spark, folder, "raw_delivery_events"), KEPT).where("is_kept").drop("is_kept")
+    return deduplicated(spread(table(spark, folder, "raw_delivery_events").select(*KEPT)), KEPT).where("is_kept").drop("is_kept")
 
 
 def period_partials(spark: SparkSession, folder: str) -> DataFrame:
     """The store of partials: figures per driver, five-minute period and hourly arrival batch, of messages kept once."""
-    events = table(spark, folder, "raw_delivery_events")
-    shaped = events.select(
+    events = table(spark, folder, "raw_delivery_events").select("event_id", "sent_at", "_kafka_partition", "_kafka_offset", "driver_id", "event_time", "_bronze_ingested_at", "lat", "lon")
+    shaped = spread(events).select(
         "event_id",
         "sent_at",
         "_kafka_partition",

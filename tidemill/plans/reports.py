@@ -15,7 +15,7 @@ from tidemill.plans.gold import SQL_STG, as_of, dimension, stg_orders
 from tidemill.plans.registry import Registry
 from tidemill.plans.relational import SQL_LATEST, latest_orders
 from tidemill.sources.specs import SPECS
-from tidemill.sources.tables import table
+from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
 
@@ -99,7 +99,8 @@ def hour_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def timed_events(spark: SparkSession, folder: str) -> DataFrame:
     """raw_delivery_events with both clocks in microseconds and tidy keys."""
-    return table(spark, folder, "raw_delivery_events").select(
+    columns = ["event_id", "order_id", "driver_id", "event_type", "lat", "lon", "sequence_number", "city", "event_time", "sent_at", "_kafka_partition", "_kafka_offset"]
+    return spread(table(spark, folder, "raw_delivery_events").select(*columns)).select(
         tidy("event_id").alias("event_id"), tidy("order_id").alias("order_id"), tidy("driver_id").alias("driver_id"), "event_type", "lat", "lon", "sequence_number", tidy("city").alias("city"),
         clock_micros("event_time").alias("event_us"), clock_micros("sent_at").alias("sent_us"), "_kafka_partition", "_kafka_offset",
     )

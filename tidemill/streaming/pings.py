@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from tidemill.functions.geo import haversine_km
 from tidemill.operators.ordered import ranged, with_neighbour
+from tidemill.session import cut
 
 WINDOW_US = 300_000_000
 #: What a message of the topic holds.
@@ -51,7 +52,7 @@ def window_speed(pings: DataFrame) -> DataFrame:
         "driver_id", window_start(F.col("event_us")).alias("_w"), "event_us", "sequence_number", "event_id", "lat", "lon"
     )
     keys = ["driver_id", "_w"]
-    pairs = with_neighbour(ranged(rows, [*keys, "event_us", "sequence_number", "event_id", "lat", "lon"]), keys, ["lat", "lon"], "_before")
+    pairs = with_neighbour(ranged(cut(rows), [*keys, "event_us", "sequence_number", "event_id", "lat", "lon"]), keys, ["lat", "lon"], "_before")
     km = F.coalesce(haversine_km(F.col("_before.lat"), F.col("_before.lon"), F.col("lat"), F.col("lon")), F.lit(0.0))
     out = pairs.groupBy(*keys).agg(F.count("*").alias("pings"), F.sum(km).alias("km"), (F.max("event_us") - F.min("event_us")).alias("span_us"))
     return out.where("pings >= 2").select((F.col("_w") + WINDOW_US).alias("window_end_us"), "driver_id", "pings", "km", "span_us", _speed(F.col("km"), F.col("span_us")).alias("avg_speed_kmh"))
