@@ -66,3 +66,10 @@ def test_table_never_confuses_identifiers_that_share_a_slot():
     assert table.size == 10
     assert (again[::-1] == entries).all()
     assert all((table.keys[e] == k).all() for e, k in zip(entries, keys, strict=True))
+
+
+def test_full_ties_keep_the_same_copy_however_rows_are_spread(spark):
+    rows = [("k", 1, p % 50, f"v{p}") for p in range(200)]
+    df = spark.createDataFrame([(i, t, 0, v) for i, t, _, v in rows], "id string, t long, p long, v string")
+    kept = {tuple(r) for n in (1, 3, 7) for r in quotient_dedup(df.repartition(n), "id", {"t": F.col("t")}, ["v"]).where("is_kept").collect()}
+    assert len(kept) == 1

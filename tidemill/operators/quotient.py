@@ -179,8 +179,8 @@ def quotient_dedup(df: DataFrame, identifier: str, order: dict[str, Column], car
     """Mark the one copy of each identifier to keep: ``carry`` columns plus boolean ``is_kept``.
 
     ``order`` gives bigint columns, by name; of the copies of an identifier the first by them is kept, nulls last;
-    if all of them tie, any one (columns with the
-    operator's own names raise). Identifiers are compared trimmed and regardless of case. Rows without an
+    if all of them tie, the one with
+    the least hash of ``carry`` (columns with the operator's own names raise). Identifiers are compared trimmed and regardless of case. Rows without an
     identifier are all kept; an empty input gives an empty result.
 
     First every task inserts its own rows into a local table, at most ``LOCAL_ROWS`` at a time, and settles the
@@ -191,6 +191,8 @@ def quotient_dedup(df: DataFrame, identifier: str, order: dict[str, Column], car
     holds what it carries of its rows until it is settled: carry keys, and join wide columns to them, or
     lower ``shard_rows``.
     """
+    # copies that tie in all of the order are told apart by what they carry, so that a task run again keeps the same
+    order = {**order, "_tie": F.xxhash64(*carry)}
     own = ["_id", "_upper", "_lower", "_wide", "_state", "_spread", "_shard", *[f"_o_{name}" for name in order]]
     if clash := {c.lower() for c in carry} & {c.lower() for c in [*own, "is_kept"]}:
         raise ValueError(f"rename these columns first: {sorted(clash)}")
