@@ -11,11 +11,11 @@ os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tidemill.session import build_session
 
     session = build_session(
-        "tests", "local[4]", {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.sql.warehouse.dir": "/tmp/tidemill-test-warehouse", "spark.ui.showConsoleProgress": "false"}
+        "tests", "local[4]", {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.ui.showConsoleProgress": "false"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
