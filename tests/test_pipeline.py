@@ -7,7 +7,8 @@ from tidemill.operators import checks
 from tidemill.operators.warehouse import version_invariants
 from tidemill.plans.pipeline import build_bronze, build_features, build_gold
 from tidemill.sources import fixtures
-from tidemill.sources.scan import inventory
+from tidemill.sources.scan import ingest, inventory
+from tidemill.sources.sinks import write_partitions
 from tidemill.sources.specs import SPECS
 from tidemill.streaming.pings import window_speed
 from tidemill.functions.text import clock_micros
@@ -60,3 +61,31 @@ def test_whole_pipeline(spark, raw, tmp_path):
         build_bronze(spark, {}, root, "2026-07-20")
     speeds = window_speed(raw["raw_delivery_events"].withColumn("event_us", clock_micros("event_time")))
     assert 0 < speeds.count() and speeds.agg(F.max("avg_speed_kmh")).first()[0] < 1e5
+
+
+def test_dimensions_hold_the_latest_row_of_a_key(spark, raw, tmp_path):
+    root, at = str(tmp_path / "bronze"), F.lit("2026-07-20").cast("timestamp_ntz")
+    for database in ("l_silver", "l_gold"):
+        spark.sql(f"drop database if exists {database} cascade")
+    moved = lambda days: (F.col("ingested_at") + F.make_dt_interval(F.lit(days))).alias("ingested_at")
+    # the latest row has the least name, so it is not the greatest attributes that win
+    again = {"raw_restaurants": {"prep_time_minutes": F.lit(1).cast("bigint")}, "raw_menu_items": {"price": F.lit(7).cast("bigint")}}
+    mixed = dict(raw)
+    for name, values in again.items():
+        rows = raw[name]
+        later = rows.withColumns({"name": F.lit("A later"), "ingested_at": moved(1), **values})
+        earlier = rows.withColumns({"name": F.lit("Z earlier"), "ingested_at": moved(-1)})
+        mixed[name] = rows.unionByName(later).unionByName(earlier)
+    people = raw["raw_customers"].withColumn("snapshot_ts", F.col("ingested_at"))
+    late = people.withColumns({"name": F.lit("Z state of before"), "snapshot_ts": F.col("snapshot_ts") - F.make_dt_interval(F.lit(1)), "ingested_at": moved(5)})  # came in last, but is older
+    newest = people.withColumns({"name": F.lit("A now"), "snapshot_ts": F.col("snapshot_ts") + F.make_dt_interval(F.lit(1))})
+    mixed["raw_customers"] = people.unionByName(late).unionByName(newest)
+    for name, df in mixed.items():
+        if name in SPECS:
+            write_partitions(ingest(spark, SPECS[name], df, "2026-07-20", at), f"{root}/{name}")
+    build_gold(spark, root, at, "l_silver", "l_gold")
+    names = lambda n: {tuple(r) for r in spark.table(f"l_gold.dim_{n}").select("name").distinct().collect()}
+    assert names("customer") == {("A now",)} and names("restaurant") == {("A later",)} and names("menu_item") == {("A later",)}
+    assert {n: spark.table(f"l_gold.dim_{n}").count() for n in ("customer", "restaurant", "menu_item")} == {"customer": 200, "restaurant": 40, "menu_item": 150}
+    build_features(spark, at, "l_silver", "l_gold")
+    assert spark.table("l_gold.feat_restaurant_avg_prep_time_30d").agg(F.max("avg_prep_time")).first()[0] == 1.0

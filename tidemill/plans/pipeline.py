@@ -27,6 +27,17 @@ def build_bronze(spark: SparkSession, sources: dict[str, DataFrame], root: str,
     return checks.require(out)
 
 
+#: What the latest row of a key is by, as far as its table has it: the moment of the state, then that of its arrival.
+LATEST = ("snapshot_ts", "ingested_at")
+
+
+def latest_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, columns) of the latest row of each key by ``LATEST``, ties by the greatest columns."""
+    by = [c for c in LATEST if c in df.columns]
+    rows = df.select(key, *columns, *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
+    return keep_best(rows, [key], [F.col(f"_by{i}") for i in range(len(by))]).select(key, *columns)
+
+
 def build_gold(spark: SparkSession, root: str, as_of: Column, silver: str = "silver", gold: str = "gold") -> dict[str, int]:
     """Staged tables, dimensions and facts as managed tables; rows of each."""
     rows: dict[str, int] = {}
@@ -39,14 +50,13 @@ def build_gold(spark: SparkSession, root: str, as_of: Column, silver: str = "sil
     events = save(keep_first(read_bronze(spark, root, "raw_delivery_events"), ["event_id"], [F.col("sequence_number")]), silver, "stg_delivery_events")
     menu = add_missing(read_bronze(spark, root, "raw_menu_items", True), {"spice_level": "double"})
     people, kitchens = (latest_snapshot(read_bronze(spark, root, t)) for t in ("raw_customers", "raw_restaurants"))
-    drivers = orders.where("driver_id is not null").select("driver_id").distinct()
     dims = {
-        "customer": people.select("customer_id", "name", "city", "district", "segment", "signup_date"),
-        "restaurant": kitchens.select("restaurant_id", "name", "city", "category", "rating", "prep_time_minutes"),
-        "driver": drivers,
-        "menu_item": menu.select("menu_item_id", "restaurant_id", "name", "category", "price", "is_available", "spice_level"),
+        "customer": latest_rows(people, "customer_id", ["name", "city", "district", "segment", "signup_date"]),
+        "restaurant": latest_rows(kitchens, "restaurant_id", ["name", "city", "category", "rating", "prep_time_minutes"]),
+        "driver": orders.where("driver_id is not null").select("driver_id").distinct(),
+        "menu_item": latest_rows(menu, "menu_item_id", ["restaurant_id", "name", "category", "price", "is_available", "spice_level"]),
     }
-    made = {n: save(initial_load(keep_best(d, [f"{n}_id"], [F.lit(0)]) if len(d.columns) > 1 else d, f"{n}_id", f"{n}_sk", as_of), gold, f"dim_{n}") for n, d in dims.items()}
+    made = {n: save(initial_load(d, f"{n}_id", f"{n}_sk", as_of), gold, f"dim_{n}") for n, d in dims.items()}
     fact = orders
     for n in ("customer", "restaurant", "driver"):
         fact = look_up(fact, made[n], f"{n}_id", f"{n}_sk", "order_id")
