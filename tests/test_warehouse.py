@@ -4,9 +4,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import tidy
 from tidemill.operators.checks import check_table, failed_critically, require, summarise
-from tidemill.operators.dedup import copies_per_batch, duplicate_rate, keep_best, keep_first
+from tidemill.operators.dedup import copies_per_batch, duplicate_rate, keep_best, keep_first, keep_first_keyed
 from tidemill.operators.warehouse import foreign_key_violations, initial_load, latest_snapshot, look_up, merge_versions, primary_key_violations, surrogate_keys
+from tidemill.plans.gold import REGISTRY
 from tidemill.sources.specs import TableSpec
 
 T = [datetime(2026, 1, d) for d in range(1, 5)]
@@ -50,6 +52,23 @@ def test_deduplication(spark):
     assert {tuple(r) for r in copies_per_batch(df, "k", "t").collect()} == {(1, 0), (2, 1), (None, 0)}
 
 
+def test_rows_without_a_key_stay(spark, tmp_path):
+    rows = [("a", 2, "x"), ("a", 1, "y"), (None, 1, "n"), (None, 1, "n"), (" ", 3, "m")]
+    df = spark.createDataFrame(rows, "k string, t int, v string")
+    assert sorted(map(repr, map(tuple, keep_first_keyed(df, "k", [F.col("t")]).collect()))) == sorted(map(repr, [("a", 1, "y"), *rows[2:]]))
+    # staged events and those without an identifier are together one row an identifier and all rows without one
+    raw = spark.read.parquet("/root/testdata/sf0.001/raw_delivery_events.parquet").limit(40)
+    ids = F.when(F.col("_kafka_offset") % 3 == 0, None).when(F.col("_kafka_offset") % 3 == 1, " ").otherwise(F.col("event_id"))
+    raw.withColumn("event_id", ids).write.parquet(str(tmp_path / "raw_delivery_events.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/raw_orders.parquet").write.parquet(str(tmp_path / "raw_orders.parquet"))
+    held = spark.read.parquet(str(tmp_path / "raw_delivery_events.parquet")).select(tidy("event_id").alias("id"))
+    keyed, rest = held.where("id is not null").distinct().count(), held.where("id is null").count()
+    assert rest > 10
+    for name in ("stg_delivery_events", "fact_delivery_events"):
+        assert REGISTRY.queries[name](spark, str(tmp_path)).count() == keyed
+        assert REGISTRY.queries[f"{name}_unkeyed"](spark, str(tmp_path)).count() == rest
+
+
 def test_check_severities_and_boundaries(spark):
     spec = TableSpec("t", "id", ("id", "v"), min_rows=21)
     at = lambda df: {r["check"]: (r["passed"], r["severity"]) for r in check_table(df, spec).collect()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.functions.text import tidy
+
 
 def keep_best(df: DataFrame, keys: list[str], best: list[Column]) -> DataFrame:
     """The row of each key with the greatest ``best`` (nulls lowest), ties by the greatest other columns.
@@ -24,6 +26,12 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     return picked.select(*[F.col(c) if c in keys else F.col(f"_best.{c}").alias(c) for c in df.columns])
 
 
+def keep_first_keyed(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """``keep_first`` of the rows with a key, beside all rows whose key is null or blank: these are nobody's copies."""
+    keyed = tidy(key).isNotNull()
+    return keep_first(df.where(keyed), [key], order).unionByName(df.where(~keyed))
+
+
 def duplicate_rate(df: DataFrame, key: str) -> DataFrame:
     """(total, unique_keys, duplicates, duplicate_pct): pct of extra rows over distinct keys, nulls left out.
 

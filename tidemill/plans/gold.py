@@ -40,13 +40,24 @@ EVENTS = ["event_id", "order_id", "driver_id", "event_type", "event_time", "lat"
 EVENT_ORDER = ["sequence_number", "sent_us", "_kafka_partition", "_kafka_offset"]
 
 
-def stg_events(spark: SparkSession, folder: str) -> DataFrame:
-    """Events, of each key the row of the least sequence number, then the earliest sent."""
-    rows = table(spark, folder, "raw_delivery_events").select(
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "raw_delivery_events").select(
         tidy("event_id").alias("event_id"), tidy("order_id").alias("order_id"), tidy("driver_id").alias("driver_id"), "event_type", micros_to_ntz(clock_micros("event_time")).alias("event_time"),
         "lat", "lon", "sequence_number", clock_micros("sent_at").alias("sent_us"), "_kafka_partition", "_kafka_offset",
-    ).where("event_id is not null")
-    return keep_first(rows, ["event_id"], [F.col(c) for c in EVENT_ORDER]).select(*EVENTS)
+    )
+
+
+def stg_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Events, of each key the row of the least sequence number, then the earliest sent.
+
+    A table of keyed rows: messages without event_id are not in it, but all of them in ``unkeyed_events``.
+    """
+    return keep_first(_events(spark, folder).where("event_id is not null"), ["event_id"], [F.col(c) for c in EVENT_ORDER]).select(*EVENTS)
+
+
+def unkeyed_events(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages that ``stg_events`` leaves out: every one without event_id, as none is known to be a copy."""
+    return _events(spark, folder).where("event_id is null").select(*EVENTS)
 
 
 SQL_STG_EVENTS = f"""select {', '.join(EVENTS)} from (
@@ -55,6 +66,10 @@ SQL_STG_EVENTS = f"""select {', '.join(EVENTS)} from (
       lat, lon, sequence_number, {sql_clock("sent_at")} sent_us, _kafka_partition, _kafka_offset from raw_delivery_events
   ) where event_id is not null) where rn = 1"""
 
+SQL_UNKEYED = f"""select {', '.join(EVENTS)} from (
+  select {sql_tidy("event_id")} event_id, {sql_tidy("order_id")} order_id, {sql_tidy("driver_id")} driver_id, event_type, make_timestamp({sql_clock("event_time")}) event_time,
+    lat, lon, sequence_number from raw_delivery_events) where event_id is null"""
+
 #: Dimension: (table, key, its columns, what the latest row is by).
 DIMS = {
     "customer": ("raw_customers", "customer_id", ["name", "city", "district", "segment"], ["snapshot_ts", "ingested_at"]),
@@ -93,6 +108,7 @@ def sql_dim(name: str) -> str:
 
 REGISTRY.add("stg_orders", SQL_STG)(stg_orders)
 REGISTRY.add("stg_delivery_events", SQL_STG_EVENTS)(stg_events)
+REGISTRY.add("stg_delivery_events_unkeyed", SQL_UNKEYED)(unkeyed_events)
 
 
 def _register_dimension(name: str) -> None:
@@ -124,10 +140,17 @@ REGISTRY.add("fact_orders", SQL_FACT + " select * from fact")(fact_orders)
 
 @REGISTRY.add("fact_delivery_events", f"with {SQL_DIMS}, e as ({SQL_STG_EVENTS}) select event_id, order_id, driver_sk, event_type, event_time, lat, lon, sequence_number from e left join d_driver using (driver_id)")
 def fact_delivery_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Keyed events; those without event_id are in ``fact_delivery_events_unkeyed``."""
     joined = look_up(stg_events(spark, folder), dimension(spark, folder, "driver"), "driver_id", "driver_sk", "event_id")
     return joined.select("event_id", "order_id", "driver_sk", *EVENTS[3:])
 
 
+@REGISTRY.add("fact_delivery_events_unkeyed", f"with {SQL_DIMS}, e as ({SQL_UNKEYED}) select event_id, order_id, driver_sk, event_type, event_time, lat, lon, sequence_number from e left join d_driver using (driver_id)")
+def fact_delivery_events_unkeyed(spark: SparkSession, folder: str) -> DataFrame:
+    joined = look_up(unkeyed_events(spark, folder), dimension(spark, folder, "driver"), "driver_id", "driver_sk", "order_id")
+    return joined.select("event_id", "order_id", "driver_sk", *EVENTS[3:])
+
+
 def fact_items(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "raw_order_items").select("order_item_id", "order_id", tidy("menu_item_id").alias("menu_item_id"), "quantity", "unit_price", "subtotal")
     return look_up(rows, dimension(spark, folder, "menu_item"), "menu_item_id", "menu_item_sk", "order_item_id").drop("menu_item_id")

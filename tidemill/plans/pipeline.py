@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators import checks, features
-from tidemill.operators.dedup import keep_best, keep_first
+from tidemill.operators.dedup import keep_best, keep_first_keyed
 from tidemill.operators.warehouse import initial_load, latest_snapshot, look_up
 from tidemill.functions.frames import add_missing
 from tidemill.sources.scan import ingest, read_bronze
@@ -47,7 +47,7 @@ def build_gold(spark: SparkSession, root: str, as_of: Column, silver: str = "sil
         return spark.table(f"{database}.{name}")
 
     orders = save(keep_best(read_bronze(spark, root, "raw_orders"), ["order_id"], [F.col("ingested_at")]), silver, "stg_orders")
-    events = save(keep_first(read_bronze(spark, root, "raw_delivery_events"), ["event_id"], [F.col("sequence_number")]), silver, "stg_delivery_events")
+    events = save(keep_first_keyed(read_bronze(spark, root, "raw_delivery_events"), "event_id", [F.col("sequence_number")]), silver, "stg_delivery_events")
     menu = add_missing(read_bronze(spark, root, "raw_menu_items", True), {"spice_level": "double"})
     people, kitchens = (latest_snapshot(read_bronze(spark, root, t)) for t in ("raw_customers", "raw_restaurants"))
     dims = {
