@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import clock_micros, tidy, tidy_upper
 from tidemill.operators.late import combine, partials
-from tidemill.streaming.jobs import compact_partials, message_stream, read_periods, run_flushed, store_partials
+from tidemill.streaming.jobs import compact_partials, message_stream, read_periods, run_available, run_flushed, store_partials
 from tidemill.streaming.pings import MESSAGE, kept_by_watermark, stream_windows, window_speed
 
 
@@ -37,6 +37,22 @@ def test_stream_equals_batch_after_flush_and_dedup_changes_only_pings(spark, tmp
         assert keyed(got) == keyed(want), name
 
 
+def test_stream_keeps_messages_without_identifier(spark, tmp_path):
+    none = [event(i, "d1", m, lat=10.0 + m / 100) for m, i in enumerate((None, None, "", " "), 1)]
+    first, later = [*none, event("a", "d1", 0), event(" A ", "d1", 0)], [event(None, "d1", 3, 30, lat=10.1), event("a", "d1", 0)]
+    rows = spark.createDataFrame([*first, *later], MESSAGE)
+    kept = shaped(rows)
+    batch = window_speed(kept.where("event_id is null").unionByName(kept.where("event_id is not null").dropDuplicates(["event_id"])))
+    assert [r[2] for r in keyed(batch)] == [6]
+    for dedup in ("within_watermark", "exact"):
+        topic, out, state = (str(tmp_path / dedup / n) for n in ("topic", "out", "state"))
+        windows = lambda m, d=dedup: stream_windows(m, "5 minutes", d)
+        spark.createDataFrame(first, MESSAGE).coalesce(1).write.json(topic)
+        run_available(windows(message_stream(spark, topic)), out, state)
+        spark.createDataFrame(later, MESSAGE).coalesce(1).write.mode("append").json(topic)
+        assert keyed(run_flushed(spark, topic, windows, out, state)) == keyed(batch), dedup
+
+
 def test_watermark_by_record(spark):
     # the second event moves the watermark past the end of the third's window
     rows = [("a", "D", 60_000_000, 1), ("b", "D", 301_000_000, 2), ("c", "D", 120_000_000, 3), ("d", "D", 302_000_000, 4)]

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.functions.geo import haversine_km
+from tidemill.functions.text import tidy
 from tidemill.operators.ordered import ranged, with_neighbour
 from tidemill.session import cut
 
@@ -77,14 +78,16 @@ def stream_windows(pings: DataFrame, tolerance: str = "5 minutes", dedup: str |
     """The same windows over a streaming frame with TIMESTAMP event_time, in append mode.
 
     ``dedup``: None; ``within_watermark`` forgets an identifier once the watermark has passed it; ``exact`` never
-    does, and its state grows with the stream. A window's pings are gathered in the state of its driver until it
+    does, and its state grows with the stream. Messages without event_id are nobody's copies and all stay. A window's pings are gathered in the state of its driver until it
     closes.
     """
     marked = pings.where("driver_id is not null and event_time is not null").withWatermark("event_time", tolerance)
+    # a stand-in for no identifier; its seed is drawn anew for each micro-batch, so it never comes again
+    known = marked.withColumn("_id", F.coalesce(tidy("event_id"), F.uuid()))
     if dedup == "within_watermark":
-        marked = marked.dropDuplicatesWithinWatermark(["event_id"])
+        marked = known.dropDuplicatesWithinWatermark(["_id"])
     elif dedup == "exact":
-        marked = marked.dropDuplicates(["event_id"])
+        marked = known.dropDuplicates(["_id"])
     elif dedup is not None:
         raise ValueError(f"no such way to deduplicate: {dedup}")
     point = F.struct(F.unix_micros("event_time").alias("t"), F.col("sequence_number").alias("n"), F.col("event_id").alias("id"), F.col("lat").alias("lat"), F.col("lon").alias("lon"))
