@@ -13,7 +13,7 @@ from tidemill.functions.geo import haversine_km, interpolate
 from tidemill.functions.hashing import integrity_hash
 from tidemill.operators.layout import compact, explain_timed, probe, refresh, timed, zorder
 from tidemill.operators.skew import merge_join, salted_join, task_sizes
-from tidemill.sources.scan import drain_topic, footer_schemas, has_column, ingest, read_bronze, read_recursive, read_topic_files, with_source_file
+from tidemill.sources.scan import TOPIC_LIMIT, drain_topic, footer_schemas, has_column, ingest, read_bronze, read_recursive, read_topic_files, with_source_file
 from tidemill.sources.sinks import mirror_jdbc, overwrite, replace_table, reset_database, routed, write_by_day, write_csv, write_partitions, write_routed, write_small_files, write_versions
 from tidemill.sources.specs import TableSpec
 from tidemill.streaming.pings import MESSAGE
@@ -138,6 +138,19 @@ def test_topics_routes_and_csv(spark, tmp_path):
             outside()
 
 
+def test_a_topic_is_drained_to_its_end(spark):
+    value = F.to_json(F.struct(F.concat(F.lit("e"), F.col("id")).alias("event_id")))
+    messages = spark.range(TOPIC_LIMIT + 3).select(value.alias("value"), (F.col("id") % 3).cast("int").alias("partition"), F.col("id").alias("offset"))
+
+    class Topic:
+        read = property(lambda self: self)
+        format = option = lambda self, *_: self
+        load = lambda self: messages
+
+    assert drain_topic(Topic(), "s", "t", MESSAGE).select("event_id").distinct().count() == TOPIC_LIMIT + 3
+    assert drain_topic(Topic(), "s", "t", MESSAGE, TOPIC_LIMIT).count() == TOPIC_LIMIT
+
+
 def test_functions(spark):
     import hashlib
 

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tidemill.functions.frames import add_provenance, require_rows
 from tidemill.sources.specs import TableSpec
 
-#: Messages that a bounded drain takes at most, by default.
+#: A cap for a bounded drain, to be passed as ``limit``.
 TOPIC_LIMIT = 200_000
 
 
@@ -50,8 +50,11 @@ def read_jdbc(spark: SparkSession, url: str, relation: str, key: str | None = No
     return reader.load()
 
 
-def drain_topic(spark: SparkSession, servers: str, topic: str, schema: T.StructType, limit: int | None = TOPIC_LIMIT) -> DataFrame:
-    """What a topic holds now, from its earliest message on, decoded, with partition and offset; nothing is committed."""
+def drain_topic(spark: SparkSession, servers: str, topic: str, schema: T.StructType, limit: int | None = None) -> DataFrame:
+    """What a topic holds now, from its earliest message on, decoded, with partition and offset; nothing is committed.
+
+    All of it, unless ``limit`` caps it: then any that many messages, and the next read starts at the earliest again.
+    """
     raw = spark.read.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").option("endingOffsets", "latest").load()
     return decode_topic(raw.limit(limit) if limit else raw, schema)
 
