@@ -8,10 +8,12 @@ from tidemill.functions.text import tidy
 from tidemill.operators.checks import check_table, failed_critically, require, summarise
 from tidemill.operators.dedup import copies_per_batch, duplicate_rate, keep_best, keep_first, keep_first_keyed
 from tidemill.operators.warehouse import foreign_key_violations, initial_load, latest_snapshot, look_up, merge_versions, primary_key_violations, surrogate_keys
+from tidemill.plans.catalogue import REGISTRIES
 from tidemill.plans.gold import REGISTRY
 from tidemill.sources.specs import TableSpec
 
 T = [datetime(2026, 1, d) for d in range(1, 5)]
+CATALOGUE = {n: q for r in REGISTRIES for n, q in r.queries.items()}
 VERSIONS = "k string, a string, valid_from_ts timestamp_ntz, valid_to_ts timestamp_ntz, is_current boolean"
 
 
@@ -88,3 +90,20 @@ def test_check_severities_and_boundaries(spark):
         assert "schema" in str(e)
     total = summarise(check_table(five, spec).unionByName(keyless)).first()
     assert total["total_rows"] == 42 and total["criticals"] == 2
+
+
+def test_tidied_reports_join_spellings(spark, tmp_path):
+    source, folder = "/root/testdata/sf0.001", str(tmp_path)
+    for name in ("raw_order_items", "raw_menu_items", "raw_customers", "raw_restaurants"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{source}/{name}.parquet")
+    shout = lambda c: F.concat(F.lit(" "), F.upper(c)).alias(c)
+    for name, key in (("raw_delivery_events", "event_id"), ("raw_orders", "order_id")):
+        rows = spark.read.parquet(f"{source}/{name}.parquet").where(tidy(key).isNotNull()).withColumn(key, tidy(key)).dropDuplicates([key]).orderBy(key).limit(20)
+        rows.unionByName(rows.withColumn(key, shout(key))).unionByName(rows.limit(3).withColumn(key, F.lit(" "))).unionByName(rows.limit(2).withColumn(key, F.lit(None).cast("string"))).write.parquet(f"{folder}/{name}.parquet")
+    run = lambda name: CATALOGUE[name](spark, folder)
+    assert (run("dedup_first").count(), run("dedup_first_tidy").count()) == (42, 25)
+    keys = {r["name"]: (r["repeated_keys"], r["null_keys"]) for r in run("primary_key_violations_tidy").collect()}
+    assert keys["raw_delivery_events"] == keys["raw_orders"] == (20, 5)
+    found = {(r["table"], r["check"]): r for r in run("bronze_checks_tidy").collect()}
+    assert found["raw_delivery_events", "duplicates"]["value"] == 100.0 and found["raw_delivery_events", "nulls"]["severity"] == "critical"
+    assert {r["column"]: r["n_distinct"] for r in run("cardinality_report_tidy").collect()}["order_id"] == 20

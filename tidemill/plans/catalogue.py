@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidemill.plans import customers, events, gold, menus, relational, reports, skewed_keys, storage, streams
+from tidemill.plans import customers, events, gold, menus, relational, reports, skewed_keys, storage, streams, tidied
 
-REGISTRIES = [m.REGISTRY for m in (skewed_keys, events, menus, customers, relational, gold, reports, streams, storage)]
+REGISTRIES = [m.REGISTRY for m in (skewed_keys, events, menus, customers, relational, gold, reports, streams, storage, tidied)]

@@ -189,6 +189,7 @@ RAW_KEYS = [("raw_orders", "order_id"), ("raw_order_items", "order_item_id"), ("
     ),
 )
 def all_primary_key_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """By raw spelling; ``primary_key_violations_tidy`` compares tidied."""
     return reduce(DataFrame.unionByName, [primary_key_violations(table(spark, folder, t).select(k), k, t) for t, k in RAW_KEYS])
 
 

@@ -158,6 +158,7 @@ EVENT_COLUMNS = ["event_id", "order_id", "driver_id", "event_type", "lat", "lon"
 
 @REGISTRY.add("dedup_first", sql_best("raw_delivery_events", "event_id", ["sequence_number"], EVENT_COLUMNS, desc=False))
 def dedup_first(spark: SparkSession, folder: str) -> DataFrame:
+    """By raw spelling, with null one event_id, as the reference does; ``dedup_first_tidy`` compares tidied."""
     rows = table(spark, folder, "raw_delivery_events").select(*EVENT_COLUMNS)
     return keep_first(rows, ["event_id"], [F.col("sequence_number"), *[F.col(c) for c in EVENT_COLUMNS if c != "event_id"]])
 

@@ -42,6 +42,7 @@ CARD = ["order_id", "customer_id", "restaurant_id", "driver_id", "status", "paym
     " union all ".join(f"select 'raw_orders' \"table\", '{c}' \"column\", count(distinct {c}) n_distinct, count(*) total, round(count(distinct {c}) / count(*), 4) ratio, case when count(distinct {c}) > 1000 then 'HIGH' else 'LOW' end \"level\" from raw_orders" for c in CARD),
 )
 def cardinality_report(spark: SparkSession, folder: str) -> DataFrame:
+    """By raw spelling, as the reference does; ``cardinality_report_tidy`` compares tidied."""
     return profile.cardinality_report(table(spark, folder, "raw_orders"), "raw_orders", CARD)
 
 
@@ -194,6 +195,7 @@ SQL_CHECKS = " union all ".join(f"({sql_checks(n)})" for n in SPECS)
 
 @REGISTRY.add("bronze_checks", SQL_CHECKS)
 def bronze_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """By raw spelling, and a blank is not null, as in the reference; ``bronze_checks_tidy`` compares tidied."""
     return reduce(DataFrame.unionByName, [checks.check_table(table(spark, folder, n), s) for n, s in SPECS.items()])
 
 
