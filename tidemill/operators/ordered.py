@@ -12,9 +12,12 @@ from tidemill.session import cut, parallelism
 RANGE_ROWS = 1_000_000
 
 
-def ranged(df: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROWS, rows: int | None = None) -> DataFrame:
+def ranged(df: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROWS, rows: int | None = None, unique: bool = False) -> DataFrame:
     """``df`` sorted by ``order`` in ranges of even size, kept in the shared folder, with its place.
 
+    Rows that tie in all of ``order`` are told apart by a hash of what they hold and then by where they are read,
+    so copies of one row are spread over ranges too; ``unique`` says that no rows tie, which saves that.
+
     ``_range`` numbers the ranges in order and ``_place`` the rows: both rise along the order. The ranges are cut
     by the whole order, so a key with a third of all rows covers a third of them. Since ranges are drawn
     from a sample, the result is kept, not made anew by each reader. ``rows`` is a bound of the number of rows
@@ -23,7 +26,11 @@ def ranged(df: DataFrame, order: list[Column | str], range_rows: int = RANGE_ROW
     rows = df.count() if rows is None else rows
     ranges = max(parallelism(df.sparkSession), -(-rows // range_rows))
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = df.repartitionByRange(ranges, *cols).sortWithinPartitions(*cols).withColumn("_place", F.monotonically_increasing_id())
+    if not unique:
+        plain = [c for c, t in df.dtypes if not any(x in t for x in ("map<", "variant"))]
+        df = df.withColumns({"_like": F.xxhash64(*plain), "_read": F.monotonically_increasing_id()})
+        cols += [F.col("_like"), F.col("_read")]
+    placed = df.repartitionByRange(ranges, *cols).sortWithinPartitions(*cols).drop("_like", "_read").withColumn("_place", F.monotonically_increasing_id())
     return cut(placed.withColumn("_range", F.shiftright("_place", 33).cast("int")))
 
 

@@ -12,10 +12,10 @@ from tidemill.operators.layout import compact, probe, zorder
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
 from tidemill.plans.relational import items, menu_items
+from tidemill.session import delete_folder, shared_folder
 from tidemill.sources.scan import footer_schemas, has_column, inventory, read_bronze
 from tidemill.sources.sinks import replace_table, write_partitions, write_small_files, write_versions
 from tidemill.sources.tables import table
-from tidemill.streaming.jobs import shared_folder
 
 REGISTRY = Registry()
 SPLIT = "2026-04-20"
@@ -85,7 +85,7 @@ SQL_PROBE = f"select count(*) \"rows\", coalesce(sum(total_amount), 0)::bigint t
 def zorder_probe(spark: SparkSession, folder: str) -> DataFrame:
     """The probe over files clustered by city and restaurant."""
     out = shared_folder(spark, "zorder")
-    zorder(_orders(spark, folder), ["delivery_city", "restaurant_id"], 16).write.parquet(out)
+    zorder(_orders(spark, folder), ["delivery_city", "restaurant_id"], 16).write.mode("append").parquet(out)
     return probe(spark.read.parquet(out), _condition(), "total_amount")
 
 

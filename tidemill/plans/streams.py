@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,13 +9,16 @@ from tidemill.functions.text import clock_micros, tidy
 from tidemill.plans.events import deduplicated
 from tidemill.plans.registry import Registry
 from tidemill.plans.reports import SQL_TIMED, timed_events
+from tidemill.session import shared_folder
+from tidemill.sources.scan import literal
 from tidemill.sources.sinks import routed
 from tidemill.sources.tables import table
-from tidemill.streaming.jobs import message_stream, read_periods, run_flushed, shared_folder, store_partials
-from tidemill.streaming.pings import MESSAGE, kept_by_watermark, stream_windows, window_speed
+from tidemill.streaming.jobs import message_stream, read_periods, run_flushed, store_partials
+from tidemill.streaming.pings import MESSAGE, in_time, stream_windows, window_speed, with_top
 
 REGISTRY = Registry()
 MINUTE_US = 60_000_000
+TOLERANCES = (0, 5, 30)
 
 
 def sql_speed(source: str) -> str:
@@ -54,22 +55,20 @@ def sql_late(tolerance: int) -> str:
     return f"select {tolerance} tolerance_min, count(*) windows, coalesce(sum(pings), 0)::bigint pings from ({sql_speed(kept)})"
 
 
-@REGISTRY.add("late_dropped_windows", " union all ".join(sql_late(t) for t in (0, 5, 30)))
+@REGISTRY.add("late_dropped_windows", " union all ".join(sql_late(t) for t in TOLERANCES))
 def late_dropped_windows(spark: SparkSession, folder: str) -> DataFrame:
     """Windows and pings left at several tolerances, with the watermark moved record by record in the order of sending."""
     pings = timed_events(spark, folder).where("event_us is not null")
-
-    def one(tolerance: int) -> DataFrame:
-        kept = kept_by_watermark(pings, tolerance * MINUTE_US, ["sent_us", "_kafka_partition", "_kafka_offset"])
-        return window_speed(kept).agg(F.lit(tolerance).alias("tolerance_min"), F.count("*").alias("windows"), F.coalesce(F.sum("pings"), F.lit(0)).alias("pings"))
-
-    return reduce(DataFrame.unionByName, [one(t) for t in (0, 5, 30)])
+    seen = with_top(pings, ["sent_us", "_kafka_partition", "_kafka_offset"])
+    each = seen.withColumn("tolerance_min", F.explode(F.array(*[F.lit(t) for t in TOLERANCES]))).where(in_time(F.col("tolerance_min") * MINUTE_US))
+    found = window_speed(each, ["tolerance_min"]).groupBy("tolerance_min").agg(F.count("*").alias("windows"), F.sum("pings").alias("pings"))
+    return literal(spark, [(t,) for t in TOLERANCES], "tolerance_min int").join(found, "tolerance_min", "left").na.fill(0, ["windows", "pings"])
 
 
 def staged_topic(spark: SparkSession, folder: str) -> str:
     """raw_delivery_events as JSON lines in the shared folder, for streams to read."""
     out = shared_folder(spark, "topic")
-    table(spark, folder, "raw_delivery_events").select(*MESSAGE.fieldNames()).write.json(out)
+    table(spark, folder, "raw_delivery_events").select(*MESSAGE.fieldNames()).write.mode("append").json(out)
     return out
 
 

@@ -9,19 +9,12 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import clock_micros, tidy, tidy_upper
 from tidemill.operators.late import CUTOFF_S, PERIOD_S, combine, partials
-from tidemill.session import ensure_checkpoint_dir
 from tidemill.streaming.pings import MESSAGE
 
 #: Event time of the flush message: later than any real one, so that every window closes.
 FLUSH_DRIVER, FLUSH_TIME = "__flush__", "2999-01-01 00:00:00"
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder in the one that the cluster shares."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def message_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Messages from files of JSON lines, decoded, with ``event_time`` a timestamp and the sending time kept."""
     reader = spark.readStream.schema(MESSAGE)
