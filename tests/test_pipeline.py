@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import checks
+from tidemill.operators import checks, star
 from tidemill.operators.warehouse import version_invariants
 from tidemill.plans.pipeline import build_bronze, build_features, build_gold
 from tidemill.sources import fixtures
@@ -35,6 +35,12 @@ def test_fixtures_have_the_planted_defects(spark, raw):
     assert abs(extra / events.count() - V.stream_duplicate_rate) < 0.005
     delays = events.select((clock_micros("sent_at") - clock_micros("event_time")).alias("d")).agg(F.avg((F.col("d") > 5_000_000).cast("double"))).first()[0]
     assert abs(delays - V.late_rate) < 0.02
+    home = raw["raw_customers"].select("customer_id", "city", "segment")
+    placed = orders.dropDuplicates(["order_id"]).join(home, "customer_id")
+    away, vip = placed.agg(F.avg((F.col("city") != F.col("delivery_city")).cast("double")), F.avg((F.col("segment") == "vip").cast("double"))).first()
+    assert 0 < away < V.cross_city + 0.02 and vip > 2 * home.where("segment = 'vip'").count() / V.customers
+    assert orders.where("status = 'cancelled' and (cancelled_reason_code is null or cancelled_reason_text is null)").count() == 0
+    assert raw["raw_restaurants"].where("not startswith(district, city)").count() == 0
     assert 0.2 < raw["raw_reviews"].count() / orders.where("status = 'completed'").count() < 0.4
     assert fixtures.everything(spark, V)["raw_customers"].exceptAll(raw["raw_customers"]).count() == 0
     assert V.scaled(0.001).orders == 10
@@ -52,6 +58,13 @@ def test_whole_pipeline(spark, raw, tmp_path):
     assert rows["t_silver.stg_orders"] == rows["t_gold.fact_orders"] == 1500
     assert rows["t_gold.dim_customer"] == 200 and rows["t_gold.dim_restaurant"] == 40
     assert rows["t_gold.fact_order_items"] == raw["raw_order_items"].count()
+    tables = {t: spark.table(f"t_gold.{t}") for t in star.PRIMARY_KEYS}
+    assert star.primary_keys(tables).where("repeated_keys + null_keys > 0").count() == star.foreign_keys(tables).where("orphan_rows > 0").count() == 0
+    broken = tables | {"fact_order_items": tables["fact_order_items"].unionByName(tables["fact_order_items"].limit(2)), "dim_driver": tables["dim_driver"].drop("valid_to_ts").where("driver_sk > 1")}
+    failed = {(r["table"], r["check"]) for r in star.validate(broken).where("not passed").collect()}
+    assert failed == {("fact_order_items", "primary key"), ("dim_driver", "validity columns"), ("fact_orders", "foreign key"), ("fact_delivery_events", "foreign key")}
+    with pytest.raises(ValueError, match="primary key"):
+        checks.require(star.validate(broken))
     inv = version_invariants(spark.table("t_gold.dim_customer"), "customer_id", "customer_sk", "d").first()
     assert inv["versions"] == inv["surrogates"] == inv["current_versions"] == 200
     assert build_features(spark, at, "t_silver", "t_gold").where("passed").count() == 3

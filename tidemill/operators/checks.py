@@ -49,6 +49,13 @@ def check_table(df: DataFrame, spec: TableSpec) -> DataFrame:
     return one.select(F.lit(spec.name).alias("table"), F.inline(F.array(*rows)))
 
 
+def null_counts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """(table, column, rows, nulls) of each required column that the table has, in one pass."""
+    here = [c for c in spec.required if c in df.columns]
+    sums = df.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in here])
+    return sums.select(F.lit(spec.name).alias("table"), "rows", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n_{c}").alias("nulls")) for c in here]))).select("table", "column", "rows", "nulls")
+
+
 def failed_critically(checks: DataFrame) -> DataFrame:
     """The checks that must stop a pipeline."""
     return checks.where("not passed and severity = 'critical'")

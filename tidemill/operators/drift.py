@@ -145,7 +145,7 @@ def changes(files: DataFrame) -> DataFrame:
     file without readable records has no fields. An empty input gives an empty result.
     """
     seen = files.select(tidy("feed_id").alias("feed_id"), F.col("file_no").cast("bigint").alias("file_no"), "file_id").where("feed_id is not null and file_no is not null")
-    listed = ranged(seen.groupBy(*FILE).agg(F.min("file_id").alias("file_id")), FILE)
+    listed = ranged(seen.groupBy(*FILE).agg(F.min("file_id").alias("file_id")), FILE, unique=True)
     around = with_neighbour(with_neighbour(listed, ["feed_id"], ["file_no"], "_prev"), ["feed_id"], ["file_no"], "_next", after=True)
     around = cut(around.select(*FILE, "file_id", F.col("_prev.file_no").alias("prev_no"), F.col("_next.file_no").alias("next_no")))
     fields = _explode(records(files))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW = ["raw_orders", "raw_order_items", "raw_menu_items", "raw_customers", "raw_restaurants", "raw_delivery_events"]
+SOURCES = ["source.customer", "source.restaurant", "source.driver", "source.order", "source.order_item", "source.menu_item", "source.review", "source.gps-topic"]
+RAW = ["raw_orders", "raw_order_items", "raw_menu_items", "raw_reviews", "raw_customers", "raw_restaurants", "raw_drivers", "raw_delivery_events"]
 DIMENSIONS = ["dim_customer", "dim_restaurant", "dim_driver", "dim_menu_item"]
 FACTS = ["fact_orders", "fact_delivery_events", "fact_order_items"]
 FEATURES = ["feat_customer_order_freq_7d", "feat_restaurant_avg_prep_time_30d", "feat_driver_acceptance_rate_7d"]
 #: Pipelines by name: what they read and what they write.
 PIPELINES = {
-    "ingest": ([f"source.{t.removeprefix('raw_')}" for t in RAW], [f"bronze.{t}" for t in RAW]),
+    "ingest": (SOURCES, [f"bronze.{t}" for t in RAW]),
     "transform": ([f"bronze.{t}" for t in RAW], ["silver.stg_orders", "silver.stg_delivery_events", *[f"gold.{t}" for t in [*DIMENSIONS, *FACTS]]]),
-    "features": (["silver.stg_orders", "gold.dim_restaurant"], [f"gold.{t}" for t in FEATURES]),
+    "features": ([f"gold.{t}" for t in [*DIMENSIONS, *FACTS]], [f"gold.{t}" for t in FEATURES]),
 }
 #: Assertions: dataset and the column that may not be null; a contract is a dataset with all its assertions.
 NOT_NULL = [("bronze.raw_orders", "order_id"), ("gold.dim_customer", "customer_sk"), ("gold.dim_customer", "is_current"), ("gold.feat_customer_order_freq_7d", "event_timestamp"), ("gold.feat_customer_order_freq_7d", "created")]
@@ -31,6 +32,11 @@ def lineage(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "pipeline string, upstream string, downstream string")
 
 
+def lineage_counts(spark: SparkSession) -> DataFrame:
+    """(pipeline, reads, writes): how many datasets each pipeline reads and writes."""
+    return lineage(spark).groupBy("pipeline").agg(F.count_distinct("upstream").alias("reads"), F.count_distinct("downstream").alias("writes"))
+
+
 def plan_inputs(df: DataFrame) -> list[str]:
     """The files that the plan of ``df`` reads: lineage from the plan itself."""
     return sorted(df.inputFiles())

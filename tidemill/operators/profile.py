@@ -68,12 +68,22 @@ def defect_report(orders: DataFrame, items: DataFrame) -> DataFrame:
     ``orders`` has one row a key. An order without items violates the first check, as a missing sum equals nothing.
     """
     sums = items.groupBy("order_id").agg(F.sum("subtotal").alias("_sum"))
-    totals = orders.select("order_id", "total_amount").join(sums, "order_id", "left")
+    joined = orders.select("order_id", "status", "total_amount", "cancelled_reason_code").join(sums, "order_id", "left")
     wrong = F.col("total_amount").isNull() | F.col("_sum").isNull() | (F.col("total_amount") != F.col("_sum"))
-    first = totals.agg(F.lit("total_amount is the sum of its items").alias("check"), F.count_if(wrong).alias("violations"), F.count("*").alias("of_rows"))
-    cancelled = orders.where("status = 'cancelled'")
-    second = cancelled.agg(F.lit("cancelled orders have a reason").alias("check"), F.count_if(F.col("cancelled_reason_code").isNull()).alias("violations"), F.count("*").alias("of_rows"))
-    return first.unionByName(second).withColumn("pct", _over(F.col("violations"), F.col("of_rows"), 3))
+    cancelled = F.col("status") == "cancelled"
+    one = joined.agg(F.count("*").alias("n"), F.count_if(wrong).alias("wrong"), F.count_if(cancelled).alias("cancelled"), F.count_if(cancelled & F.col("cancelled_reason_code").isNull()).alias("silent"))
+    row = lambda check, bad, of: F.struct(F.lit(check).alias("check"), F.col(bad).alias("violations"), F.col(of).alias("of_rows"))
+    return one.select(F.inline(F.array(row("total_amount is the sum of its items", "wrong", "n"), row("cancelled orders have a reason", "silent", "cancelled")))).withColumn("pct", _over(F.col("violations"), F.col("of_rows"), 3))
+
+
+def review_report(reviews: DataFrame, orders: DataFrame) -> DataFrame:
+    """(check, violations, of_rows, pct): reviews that name another restaurant than their order, among those whose order is there.
+
+    ``orders`` has one row a key; a null restaurant on one side is another one.
+    """
+    told = reviews.select("order_id", F.col("restaurant_id").alias("_named")).join(orders.select("order_id", F.col("restaurant_id").alias("_expected")), "order_id")
+    out = told.agg(F.lit("reviews name their order's restaurant").alias("check"), F.count_if(~F.col("_named").eqNullSafe(F.col("_expected"))).alias("violations"), F.count("*").alias("of_rows"))
+    return out.withColumn("pct", _over(F.col("violations"), F.col("of_rows"), 3))
 
 
 def outlier_report(items: DataFrame, orders: DataFrame, least: int = 13, hours: tuple[int, ...] = (11, 12, 13)) -> DataFrame:
@@ -138,3 +148,21 @@ def counts_by(df: DataFrame, dimensions: list[str]) -> DataFrame:
     """(dimension, value, rows) for each of several columns, in one pass."""
     parts = F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in dimensions])
     return df.select(F.inline(parts)).groupBy("dimension", "value").agg(F.count("*").alias("rows"))
+
+
+def stream_statistics(events: DataFrame, threshold_s: int = 5) -> DataFrame:
+    """One row on a stream: (messages, unique_keys, extra_copies, orders, drivers, timed, late, least_delay_ms, most_delay_ms).
+
+    ``events`` has event_id, order_id, driver_id, event_us and sent_us. Delays are of messages with both times. Keys
+    are counted per value first, so each shuffle moves distinct values only.
+    """
+    delay = F.col("sent_us") - F.col("event_us")
+    sums = events.agg(
+        F.count("*").alias("messages"), F.count(delay).alias("timed"), F.count_if(delay > F.lit(threshold_s * 1_000_000)).alias("late"),
+        F.expr("min(sent_us - event_us) div 1000").alias("least_delay_ms"), F.expr("max(sent_us - event_us) div 1000").alias("most_delay_ms"),
+    )
+    each = events.select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("v")) for c in ("event_id", "order_id", "driver_id")]))).where("v is not null").groupBy("what", "v").agg(F.count("*").alias("n"))
+    of = lambda c, x: F.coalesce(F.sum(F.when(F.col("what") == c, x)), F.lit(0))
+    keys = each.agg(of("event_id", F.lit(1)).alias("unique_keys"), of("event_id", F.col("n") - 1).alias("extra_copies"), of("order_id", F.lit(1)).alias("orders"), of("driver_id", F.lit(1)).alias("drivers"))
+    one = sums.withColumn("_one", F.lit(1)).join(F.broadcast(keys.withColumn("_one", F.lit(1))), "_one")
+    return one.select("messages", *[F.col(c).cast("bigint").alias(c) for c in ("unique_keys", "extra_copies", "orders", "drivers")], "timed", "late", "least_delay_ms", "most_delay_ms")

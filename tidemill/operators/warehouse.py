@@ -4,15 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from tidemill.operators.ordered import ranged, with_rank
+from tidemill.operators.ordered import RANGE_ROWS, ranged, with_rank
 from tidemill.operators.sized import skew_join
 from tidemill.session import cut
 
 
 def surrogate_keys(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Number rows from 1 in ``order``: ranges are numbered at once, each from the count of those before it."""
-    placed = with_rank(ranged(df, order), [], "_rank")
+    """Number the rows from 1 in ``order``, in which no two tie; ``df`` is read several times, so it should be kept.
+
+    Rows are counted first: beyond ``RANGE_ROWS`` ranges are numbered at once, each from the count of those before
+    it; up to that they are one range.
+    """
+    rows = df.count()
+    if rows <= RANGE_ROWS:
+        # one bounded range
+        return df.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias(name), *df.columns)
+    placed = with_rank(ranged(df, order, rows=rows, unique=True), [], "_rank")
     return placed.select((F.col("_rank") + 1).alias(name), *df.columns)
 
 

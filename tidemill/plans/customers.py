@@ -44,7 +44,7 @@ with r as (
 def history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The placed moments, and the versions made of satellites split by the change rates found."""
     most = sum(table(spark, folder, t).count() for t in ("raw_customers", "dim_customer"))
-    placed = ranged(readings(spark, folder), ["customer_id", "at"], rows=most)
+    placed = ranged(readings(spark, folder), ["customer_id", "at"], rows=most, unique=True)
     groups = split_by_rate(change_counts(placed, "customer_id", ATTRIBUTES))
     return placed, versions(satellites(placed, "customer_id", "at", groups), "customer_id", "at")
 

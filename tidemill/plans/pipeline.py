@@ -3,12 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemill.operators import checks, features
-from tidemill.operators.dedup import keep_best, keep_first_keyed
-from tidemill.operators.warehouse import initial_load, latest_snapshot, look_up
-from tidemill.functions.frames import add_missing
+from tidemill.operators import checks, features, star
 from tidemill.sources.scan import ingest, read_bronze
 from tidemill.sources.sinks import replace_table, write_partitions
 from tidemill.sources.specs import SPECS
@@ -27,49 +23,34 @@ def build_bronze(spark: SparkSession, sources: dict[str, DataFrame], root: str,
     return checks.require(out)
 
 
-#: What the latest row of a key is by, as far as its table has it: the moment of the state, then that of its arrival.
-LATEST = ("snapshot_ts", "ingested_at")
-
-
-def latest_rows(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, columns) of the latest row of each key by ``LATEST``, ties by the greatest columns."""
-    by = [c for c in LATEST if c in df.columns]
-    rows = df.select(key, *columns, *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)])
-    return keep_best(rows, [key], [F.col(f"_by{i}") for i in range(len(by))]).select(key, *columns)
-
-
 def build_gold(spark: SparkSession, root: str, as_of: Column, silver: str = "silver", gold: str = "gold") -> dict[str, int]:
-    """Staged tables, dimensions and facts as managed tables; rows of each."""
+    """Staged tables, dimensions and facts as managed tables, then their constraints; rows of each, or an error.
+
+    Each table is read back once written, so nothing is made twice. Of a key the latest row of all days counts.
+    """
     rows: dict[str, int] = {}
 
     def save(df: DataFrame, database: str, name: str) -> DataFrame:
         rows[f"{database}.{name}"] = replace_table(spark, df, database, name)
         return spark.table(f"{database}.{name}")
 
-    orders = save(keep_best(read_bronze(spark, root, "raw_orders"), ["order_id"], [F.col("ingested_at")]), silver, "stg_orders")
-    events = save(keep_first_keyed(read_bronze(spark, root, "raw_delivery_events"), "event_id", [F.col("sequence_number")]), silver, "stg_delivery_events")
-    menu = add_missing(read_bronze(spark, root, "raw_menu_items", True), {"spice_level": "double"})
-    people, kitchens = (latest_snapshot(read_bronze(spark, root, t)) for t in ("raw_customers", "raw_restaurants"))
-    dims = {
-        "customer": latest_rows(people, "customer_id", ["name", "city", "district", "segment", "signup_date"]),
-        "restaurant": latest_rows(kitchens, "restaurant_id", ["name", "city", "category", "rating", "prep_time_minutes"]),
-        "driver": orders.where("driver_id is not null").select("driver_id").distinct(),
-        "menu_item": latest_rows(menu, "menu_item_id", ["restaurant_id", "name", "category", "price", "is_available", "spice_level"]),
-    }
-    made = {n: save(initial_load(d, f"{n}_id", f"{n}_sk", as_of), gold, f"dim_{n}") for n, d in dims.items()}
-    fact = orders
-    for n in ("customer", "restaurant", "driver"):
-        fact = look_up(fact, made[n], f"{n}_id", f"{n}_sk", "order_id")
-    save(fact.select("order_id", "customer_sk", "restaurant_sk", "driver_sk", "order_time", "status", "total_amount", "payment_method", "delivery_city", "distance_km"), gold, "fact_orders")
-    pings = look_up(events, made["driver"], "driver_id", "driver_sk", "event_id")
-    save(pings.select("event_id", "order_id", "driver_sk", "event_type", "event_time", "lat", "lon", "sequence_number"), gold, "fact_delivery_events")
-    items = look_up(read_bronze(spark, root, "raw_order_items"), made["menu_item"], "menu_item_id", "menu_item_sk", "order_item_id")
-    save(items.select("order_item_id", "order_id", "menu_item_sk", "quantity", "unit_price", "subtotal"), gold, "fact_order_items")
+    messages = read_bronze(spark, root, "raw_delivery_events")
+    orders = save(star.stage_orders(read_bronze(spark, root, "raw_orders")), silver, "stg_orders")
+    events = save(star.stage_events(messages), silver, "stg_delivery_events")
+    loose = save(star.unkeyed_events(messages), silver, "stg_delivery_events_unkeyed")
+    sources = {"customer": "raw_customers", "restaurant": "raw_restaurants", "driver": "raw_drivers", "menu_item": "raw_menu_items"}
+    dims = {n: save(star.dimension(read_bronze(spark, root, t, SPECS[t].merge_schema), n, as_of), gold, f"dim_{n}") for n, t in sources.items()}
+    tables = {f"dim_{n}": d for n, d in dims.items()}
+    tables["fact_orders"] = save(star.fact_orders(orders, dims), gold, "fact_orders")
+    tables["fact_delivery_events"] = save(star.fact_events(events, dims["driver"]), gold, "fact_delivery_events")
+    save(star.fact_events(loose, dims["driver"]), gold, "fact_delivery_events_unkeyed")
+    tables["fact_order_items"] = save(star.fact_items(read_bronze(spark, root, "raw_order_items"), dims["menu_item"]), gold, "fact_order_items")
+    checks.require(star.validate(tables))
     return rows
 
 
 def build_features(spark: SparkSession, created: Column | None = None, silver: str = "silver", gold: str = "gold") -> DataFrame:
-    """The three feature tables; their checks."""
+    """The three feature tables; their checks, or an error if one fails."""
     orders, kitchens = spark.table(f"{silver}.stg_orders"), spark.table(f"{gold}.dim_restaurant").where("is_current")
     tables = {
         "feat_customer_order_freq_7d": (features.order_frequency(orders, 7, created), "customer_id"),
@@ -81,4 +62,6 @@ def build_features(spark: SparkSession, created: Column | None = None, silver: s
         replace_table(spark, df, gold, name)
         one = checks.check_features(spark.table(f"{gold}.{name}"), entity, name)
         out = one if out is None else out.unionByName(one)
+    if bad := [r["name"] for r in out.where("not passed").collect()]:
+        raise ValueError(f"feature tables fail their checks: {bad}")
     return out

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import clock_micros, micros_to_ntz, tidy
 from tidemill.operators import checks, governance, profile
-from tidemill.operators.features import order_frequency
+from tidemill.operators.features import acceptance_rate, order_frequency, preparation_time
 from tidemill.plans.events import sql_clock, sql_tidy
-from tidemill.plans.gold import SQL_STG, as_of, dimension, stg_orders
+from tidemill.plans.derived import SQL_MADE, bronze
+from tidemill.plans.gold import REGISTRY as GOLD
+from tidemill.plans.gold import SQL_STG, as_of, dimension, latest, stg_orders
 from tidemill.plans.registry import Registry
 from tidemill.plans.relational import SQL_LATEST, latest_orders
 from tidemill.sources.specs import SPECS
@@ -65,19 +67,21 @@ def null_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 @REGISTRY.add(
     "defect_report",
-    f"""with o as ({SQL_LATEST}), f as (select order_id, cancelled_reason_code from (select *, row_number() over (partition by order_id order by ingested_at desc nulls last, status desc nulls last, cancelled_reason_code desc nulls last) rn from raw_orders where status = 'cancelled') where rn = 1),
-s as (select order_id, sum(subtotal)::bigint t from raw_order_items group by order_id)
+    f"""with {SQL_MADE}, o as ({SQL_LATEST}), s as (select order_id, sum(subtotal)::bigint t from raw_order_items group by order_id),
+k as (select {sql_tidy("order_id")} order_id, last({sql_tidy("restaurant_id")} order by ingested_at nulls first, {sql_tidy("restaurant_id")} nulls first) expected from raw_orders where {sql_tidy("order_id")} is not null group by 1)
 select 'total_amount is the sum of its items' "check", count(*) filter (total_amount is null or t is null or total_amount <> t) violations, count(*) of_rows,
   round(count(*) filter (total_amount is null or t is null or total_amount <> t) * 100.0::double / count(*), 3) pct from o left join s using (order_id)
 union all
-select 'cancelled orders have a reason', count(*) filter (cancelled_reason_code is null), count(*), round(count(*) filter (cancelled_reason_code is null) * 100.0::double / greatest(count(*), 1), 3) from o join f using (order_id) where status = 'cancelled'""",
+select 'cancelled orders have a reason', count(*) filter (cancelled_reason_code is null), count(*), round(count(*) filter (cancelled_reason_code is null) * 100.0::double / greatest(count(*), 1), 3) from o where status = 'cancelled'
+union all
+select 'reviews name their order''s restaurant', count(*) filter (restaurant_id is distinct from expected), count(*), round(count(*) filter (restaurant_id is distinct from expected) * 100.0::double / greatest(count(*), 1), 3)
+  from raw_reviews join k using (order_id)""",
 )
 def defect_report(spark: SparkSession, folder: str) -> DataFrame:
-    reasons = table(spark, folder, "raw_orders").where("status = 'cancelled'").groupBy("order_id").agg(
-        F.max_by("cancelled_reason_code", F.struct("ingested_at", "status", "cancelled_reason_code")).alias("cancelled_reason_code")
-    )
-    orders = latest_orders(spark, folder).select("order_id", "status", "total_amount").join(reasons, "order_id", "left")
-    return profile.defect_report(orders, table(spark, folder, "raw_order_items"))
+    """Totals and reasons of the latest orders, and the restaurants that reviews name."""
+    base = profile.defect_report(latest_orders(spark, folder), table(spark, folder, "raw_order_items"))
+    orders = table(spark, folder, "raw_orders").select(tidy("order_id").alias("order_id"), tidy("restaurant_id").alias("restaurant_id"), "ingested_at").where("order_id is not null")
+    return base.unionByName(profile.review_report(bronze(spark, folder, "raw_reviews"), orders.groupBy("order_id").agg(F.max_by("restaurant_id", F.struct("ingested_at", "restaurant_id")).alias("restaurant_id"))))
 
 
 SQL_PCT = lambda a, b, d=2: f"round(case when {b} > 0 then ({a}) * 100.0::double / ({b}) else 0.0 end, {d})"
@@ -180,9 +184,11 @@ def sql_checks(name: str) -> str:
     nulls = " + ".join(f"count(*) filter ({c} is null)" for c in others)
     pct = f"case when count(distinct {s.key}) > 0 then (count({s.key}) - count(distinct {s.key})) * 100.0::double / count(distinct {s.key}) else 0 end"
     head = f"select '{name}' \"table\","
+    named = f"(select unnest(json_keys(to_json(t))) k from (from {name} limit 1) t)"
+    gone = f"{len(s.required)} - count(*) filter (k in ({', '.join(f"'{c}'" for c in s.required)}))"
     return " union all ".join(
         [
-            f"{head} 'schema' \"check\", true passed, 'critical' severity, 0::double value, '' detail",
+            f"{head} 'schema' \"check\", {gone} = 0 passed, 'critical' severity, ({gone})::double value, '' detail from {named}",
             f"{head} 'rows', count(*) >= {s.min_rows}, case when count(*) = 0 then 'critical' else 'warning' end, count(*)::double, 'at least {s.min_rows}' from {name}",
             f"{head} 'nulls', count(*) filter ({s.key} is null) + {nulls} = 0, case when count(*) filter ({s.key} is null) > 0 then 'critical' else 'warning' end, (count(*) filter ({s.key} is null) + {nulls})::double, '{s.key}' from {name}",
             f"{head} 'duplicates', {pct} <= 5.0, 'warning', round({pct}, 3), 'at most 5.0 %' from {name}",
@@ -193,27 +199,40 @@ def sql_checks(name: str) -> str:
 SQL_CHECKS = " union all ".join(f"({sql_checks(n)})" for n in SPECS)
 
 
-@REGISTRY.add("bronze_checks", SQL_CHECKS)
+@REGISTRY.add("bronze_checks", f"with {SQL_MADE} {SQL_CHECKS}")
 def bronze_checks(spark: SparkSession, folder: str) -> DataFrame:
     """By raw spelling, and a blank is not null, as in the reference; ``bronze_checks_tidy`` compares tidied."""
-    return reduce(DataFrame.unionByName, [checks.check_table(table(spark, folder, n), s) for n, s in SPECS.items()])
+    return reduce(DataFrame.unionByName, [checks.check_table(bronze(spark, folder, n), s) for n, s in SPECS.items()])
+
+
+@REGISTRY.add("required_nulls", f"with {SQL_MADE} " + " union all ".join(f"select '{n}' \"table\", '{c}' \"column\", count(*) \"rows\", count(*) filter ({c} is null) nulls from {n}" for n, s in SPECS.items() for c in s.required))
+def required_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, [checks.null_counts(bronze(spark, folder, n), s) for n, s in SPECS.items()])
 
 
 @REGISTRY.add(
     "bronze_summary",
-    f"""select count(distinct "table") tables, sum(case when "check" = 'rows' then value end)::bigint total_rows, count(*) filter (passed) passed,
+    f"""with {SQL_MADE} select count(distinct "table") tables, sum(case when "check" = 'rows' then value end)::bigint total_rows, count(*) filter (passed) passed,
   count(*) filter (not passed and severity = 'warning') warnings, count(*) filter (not passed and severity = 'critical') criticals from ({SQL_CHECKS})""",
 )
 def bronze_summary(spark: SparkSession, folder: str) -> DataFrame:
     return checks.summarise(bronze_checks(spark, folder))
 
 
+FEATURES = {"feat_customer_order_freq_7d": "customer_id", "feat_restaurant_avg_prep_time_30d": "restaurant_id", "feat_driver_acceptance_rate_7d": "driver_id"}
+
+
 @REGISTRY.add(
     "feature_checks",
-    f"with stg as ({SQL_STG}), f as (select customer_id from stg where order_time >= (select max(order_time) from stg) - interval 7 days group by 1) select 'feat_customer_order_freq_7d' \"name\", count(*) \"rows\", count(*) filter (customer_id is null) null_entities, true has_times, count(*) > 0 and count(*) filter (customer_id is null) = 0 passed from f",
+    " union all ".join(
+        f"select '{n}' \"name\", count(*) \"rows\", count(*) filter ({e} is null) null_entities, count(event_timestamp) = count(*) and count(created) = count(*) has_times, count(*) > 0 and count(*) filter ({e} is null) = 0 passed from ({GOLD.sql[n]})"
+        for n, e in FEATURES.items()
+    ),
 )
 def feature_checks(spark: SparkSession, folder: str) -> DataFrame:
-    return checks.check_features(order_frequency(stg_orders(spark, folder), 7, as_of()), "customer_id", "feat_customer_order_freq_7d")
+    orders = stg_orders(spark, folder)
+    made = {"feat_customer_order_freq_7d": order_frequency(orders, 7, as_of()), "feat_restaurant_avg_prep_time_30d": preparation_time(orders, latest(spark, folder, "restaurant"), 30, as_of()), "feat_driver_acceptance_rate_7d": acceptance_rate(orders, 7, as_of())}
+    return reduce(DataFrame.unionByName, [checks.check_features(made[n], e, n) for n, e in FEATURES.items()])
 
 
 def _frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
@@ -224,12 +243,10 @@ def _frames(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     }
 
 
-SQL_ASSERTED = f"""
-with stg as ({SQL_STG}), d as (select count(distinct {sql_tidy("customer_id")}) n from raw_customers),
-f as (select count(*) n from (select customer_id from stg where order_time >= (select max(order_time) from stg) - interval 7 days group by 1)), a as (
-select 'bronze.raw_orders' dataset, 'order_id' "column", count(*) "rows", count(*) filter (order_id is null) nulls, count(*) filter (order_id is null) = 0 passed from raw_orders
-union all select 'gold.dim_customer', c, n, 0, true from d, (values ('customer_sk'), ('is_current')) v(c)
-union all select 'gold.feat_customer_order_freq_7d', c, n, 0, true from f, (values ('event_timestamp'), ('created')) v(c))"""
+_asserted = [("bronze.raw_orders", "order_id", "raw_orders"), ("gold.dim_customer", "customer_sk", "d"), ("gold.dim_customer", "is_current", "d"), ("gold.feat_customer_order_freq_7d", "event_timestamp", "f"), ("gold.feat_customer_order_freq_7d", "created", "f")]
+SQL_ASSERTED = f"with d as ({GOLD.sql['dim_customer_first_load']}), f as ({GOLD.sql['feat_customer_order_freq_7d']}), a as (" + " union all ".join(
+    f"select '{n}' dataset, '{c}' \"column\", count(*) \"rows\", count(*) filter ({c} is null) nulls, count(*) filter ({c} is null) = 0 passed from {t}" for n, c, t in _asserted
+) + ")"
 
 
 @REGISTRY.add("assertion_status", SQL_ASSERTED + " select * from a")
@@ -242,15 +259,41 @@ def contract_status(spark: SparkSession, folder: str) -> DataFrame:
     return governance.contracts(governance.assertions(_frames(spark, folder)))
 
 
-def sql_rows(rows: list[tuple], names: str) -> str:
-    return "select * from (values " + ", ".join("(" + ", ".join(f"'{x}'" for x in r) + ")" for r in rows) + f") t({names})"
+#: Written out by hand, so that the queries are held against something that isn't made from them.
+SQL_LINEAGE = """with src(n) as (values ('customer'), ('restaurant'), ('driver'), ('order'), ('order_item'), ('menu_item'), ('review'), ('gps-topic')),
+raw(n) as (values ('raw_orders'), ('raw_order_items'), ('raw_menu_items'), ('raw_reviews'), ('raw_customers'), ('raw_restaurants'), ('raw_drivers'), ('raw_delivery_events')),
+stg(n) as (values ('stg_orders'), ('stg_delivery_events')),
+star(n) as (values ('dim_customer'), ('dim_restaurant'), ('dim_driver'), ('dim_menu_item'), ('fact_orders'), ('fact_delivery_events'), ('fact_order_items')),
+feat(n) as (values ('feat_customer_order_freq_7d'), ('feat_restaurant_avg_prep_time_30d'), ('feat_driver_acceptance_rate_7d')),
+edges as (
+  select 'ingest' pipeline, 'source.' || src.n upstream, 'bronze.' || raw.n downstream from src, raw
+  union all select 'transform', 'bronze.' || raw.n, 'silver.' || stg.n from raw, stg
+  union all select 'transform', 'bronze.' || raw.n, 'gold.' || star.n from raw, star
+  union all select 'features', 'gold.' || star.n, 'gold.' || feat.n from star, feat
+)"""
 
 
-@REGISTRY.add("lineage_edges", sql_rows([(p, a, b) for p, (r, w) in governance.PIPELINES.items() for a in r for b in w], "pipeline, upstream, downstream"))
+@REGISTRY.add("lineage_edges", SQL_LINEAGE + " from edges")
 def lineage_edges(spark: SparkSession, folder: str) -> DataFrame:
     return governance.lineage(spark)
 
 
-@REGISTRY.add("registered_datasets", sql_rows([(n, n.split(".")[0]) for n in sorted({n for r, w in governance.PIPELINES.values() for n in [*r, *w]})], "dataset, layer"))
+@REGISTRY.add("lineage_counts", "select * from (values ('ingest', 8, 8), ('transform', 8, 9), ('features', 7, 3)) t(pipeline, reads, writes)")
+def lineage_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return governance.lineage_counts(spark)
+
+
+@REGISTRY.add("registered_datasets", SQL_LINEAGE + " select n dataset, split_part(n, '.', 1) layer from (select upstream n from edges union select downstream from edges)")
 def registered_datasets(spark: SparkSession, folder: str) -> DataFrame:
     return governance.datasets(spark)
+
+
+@REGISTRY.add(
+    "stream_statistics",
+    f"""with t as ({SQL_TIMED}), d as (select *, sent_us - event_us d from t)
+select count(*) messages, count(distinct event_id) unique_keys, count(event_id) - count(distinct event_id) extra_copies, count(distinct order_id) orders, count(distinct driver_id) drivers, count(d) timed,
+  count(*) filter (d > 5000000) late, trunc(min(d) / 1000)::bigint least_delay_ms, trunc(max(d) / 1000)::bigint most_delay_ms from d""",
+)
+def stream_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages, copies, lateness and delays of the topic in one row."""
+    return profile.stream_statistics(timed_events(spark, folder))

@@ -15,6 +15,7 @@ from tidemill.operators import checks, profile
 from tidemill.operators.dedup import keep_first_keyed
 from tidemill.operators.warehouse import primary_key_violations
 from tidemill.plans.events import sql_tidy
+from tidemill.plans.derived import MADE, SQL_MADE, bronze
 from tidemill.plans.gold import RAW_KEYS
 from tidemill.plans.gold import REGISTRY as GOLD
 from tidemill.plans.registry import Registry
@@ -60,9 +61,9 @@ def primary_key_violations_tidy(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [primary_key_violations(tidied(spark, folder, t).select(k), k, t) for t, k in RAW_KEYS])
 
 
-@REGISTRY.add("bronze_checks_tidy", f"{SQL_TIDIED} {SQL_CHECKS}")
+@REGISTRY.add("bronze_checks_tidy", f"{SQL_TIDIED}, {SQL_MADE} {SQL_CHECKS}")
 def bronze_checks_tidy(spark: SparkSession, folder: str) -> DataFrame:
-    return reduce(DataFrame.unionByName, [checks.check_table(tidied(spark, folder, n), s) for n, s in SPECS.items()])
+    return reduce(DataFrame.unionByName, [checks.check_table(bronze(spark, folder, n) if n in MADE else tidied(spark, folder, n), s) for n, s in SPECS.items()])
 
 
 @REGISTRY.add("cardinality_report_tidy", f"{SQL_TIDIED} {REPORTS.sql['cardinality_report']}")

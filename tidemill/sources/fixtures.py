@@ -8,12 +8,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PEAKS = ((11, 12, 13), (18, 19, 20))
-STATUS = {"completed": 0.85, "cancelled": 0.08, "failed": 0.07}
-PAYMENT = {"cash": 0.45, "ewallet": 0.40, "bank_transfer": 0.15}
-VEHICLE = {"motorbike_gas": 0.78, "motorbike_electric": 0.20, "car": 0.02}
-CITY = {f"City {c}": w for c, w in zip("ABCDEFGH", (0.45, 0.30, 0.10, 0.04, 0.035, 0.03, 0.025, 0.02), strict=True)}
-CATEGORY = {f"Category {c}": w for c, w in zip("ABCDEFGH", (0.30, 0.25, 0.15, 0.10, 0.08, 0.06, 0.04, 0.02), strict=True)}
+#: Hours of the two daily peaks, and the shares of orders in each of them.
+PEAKS = ((10, 11, 12), (17, 18, 19, 20))
+PEAK_SHARES = (0.28, 0.36)
+STATUS = {"completed": 0.8, "cancelled": 0.12, "failed": 0.08}
+PAYMENT = {"cash": 0.5, "ewallet": 0.3, "bank_transfer": 0.2}
+VEHICLE = {"bicycle": 0.25, "scooter": 0.6, "van": 0.15}
+#: Each place and kind of food is half as frequent as the one before.
+CITY = {name: 0.5**k for k, name in enumerate(("Northport", "Eastmere", "Southwick", "Westhaven", "Midvale", "Lakeside"))}
+CATEGORY = {name: 0.5**k for k, name in enumerate(("noodles", "rice", "drinks", "grill", "bakery"))}
+REASONS = {"customer": "changed their mind", "kitchen": "sold out", "courier": "nobody free"}
+#: What a wrong total is off by.
+DRIFTS = (-30_000, -10_000, 5_000, 20_000)
 
 
 @dataclass(frozen=True)
@@ -32,7 +38,8 @@ class Volume:
     bad_phone: float = 0.01
     cross_city: float = 0.03
     review_rate: float = 0.30
-    wrong_review: float = 0.005
+    wrong_review: float = 0.02
+    vip_weight: int = 3
     late_rate: float = 0.08
     stream_duplicate_rate: float = 0.015
 
@@ -87,29 +94,45 @@ def _at(start: str, days: int, u: Column) -> Column:
 START = "2026-01-20 00:00:00"
 
 
+def district(city: Column, u: Column) -> Column:
+    """A district of the city: its name and a number from 1 to 5."""
+    return F.concat_ws(" ", city, F.lit("district"), whole(u, 1, 5).cast("string"))
+
+
+def phone(v: Volume, seed: str, n: Column) -> Column:
+    return F.when(uniform(f"{seed}phone", n) < v.bad_phone, F.lit("n/a")).otherwise(code("09", 8, whole(uniform(f"{seed}digits", n), 0, 99_999_999)))
+
+
+def is_vip(n: Column) -> Column:
+    return uniform("segment", n) < 0.1
+
+
 def customers(spark: SparkSession, v: Volume) -> DataFrame:
     n = F.col("id")
     city = weighted(uniform("city", n), CITY)
-    phone = F.when(uniform("phone", n) < v.bad_phone, F.lit("n/a")).otherwise(code("09", 8, whole(uniform("digits", n), 0, 99_999_999)))
     return spark.range(v.customers).select(
-        _id("customer", n).alias("customer_id"), F.concat_ws(" ", F.lit("Name"), n.cast("string")).alias("name"), phone.alias("phone"),
-        F.when(uniform("email", n) >= v.null_email, F.concat(F.lit("c"), n, F.lit("@example.org"))).alias("email"), city.alias("city"),
-        F.concat_ws(" ", city, F.lit("district"), whole(uniform("district", n), 1, 5).cast("string")).alias("district"), _at("2024-01-01 00:00:00", 700, uniform("signup", n)).alias("signup_date"),
-        weighted(uniform("segment", n), {"regular": 0.9, "vip": 0.1}).alias("segment"), F.lit(START).cast("timestamp_ntz").alias("ingested_at"),
+        _id("customer", n).alias("customer_id"), F.concat_ws(" ", F.lit("Name"), n.cast("string")).alias("name"), phone(v, "c", n).alias("phone"),
+        F.when(uniform("email", n) >= v.null_email, F.concat(F.lit("c"), n, F.lit("@example.org"))).alias("email"), city.alias("city"), district(city, uniform("district", n)).alias("district"),
+        _at("2024-01-01 00:00:00", 700, uniform("signup", n)).alias("signup_date"), F.when(is_vip(n), "vip").otherwise("regular").alias("segment"), F.lit(START).cast("timestamp_ntz").alias("ingested_at"),
     )
 
 
 def restaurants(spark: SparkSession, v: Volume) -> DataFrame:
     n = F.col("id")
+    city = weighted(uniform("rcity", n), CITY)
     return spark.range(v.restaurants).select(
-        code("RST", 6, n).alias("restaurant_id"), F.concat(F.lit("Kitchen "), n).alias("name"), weighted(uniform("rcity", n), CITY).alias("city"), weighted(uniform("category", n), CATEGORY).alias("category"),
-        F.round(humped("rating", 2.5, 5.0, n, skew_right=True), 1).alias("rating"), whole(humped("prep", 0, 1, n), 10, 45).alias("prep_time_minutes"), F.lit(START).cast("timestamp_ntz").alias("ingested_at"),
+        code("RST", 6, n).alias("restaurant_id"), F.concat(F.lit("Kitchen "), n).alias("name"), city.alias("city"), district(city, uniform("rdistrict", n)).alias("district"),
+        weighted(uniform("category", n), CATEGORY).alias("category"), F.round(humped("rating", 2.5, 5.0, n, skew_right=True), 1).alias("rating"), whole(uniform("open", n), 5, 10).alias("open_hour"),
+        whole(uniform("close", n), 20, 23).alias("close_hour"), whole(humped("prep", 0, 1, n), 10, 45).alias("prep_time_minutes"), F.lit(START).cast("timestamp_ntz").alias("ingested_at"),
     )
 
 
 def drivers(spark: SparkSession, v: Volume) -> DataFrame:
     n = F.col("id")
-    return spark.range(v.drivers).select(code("DRV", 6, n).alias("driver_id"), F.concat(F.lit("Driver "), n).alias("name"), weighted(uniform("vehicle", n), VEHICLE).alias("vehicle_type"), weighted(uniform("dcity", n), CITY).alias("city"))
+    return spark.range(v.drivers).select(
+        code("DRV", 6, n).alias("driver_id"), F.concat(F.lit("Driver "), n).alias("name"), phone(v, "d", n).alias("phone"), weighted(uniform("vehicle", n), VEHICLE).alias("vehicle_type"), weighted(uniform("dcity", n), CITY).alias("city"),
+        _at("2023-01-01 00:00:00", 900, uniform("since", n)).alias("active_since"), F.round(humped("drating", 3.0, 5.0, n, skew_right=True), 1).alias("rating"), F.lit(START).cast("timestamp_ntz").alias("ingested_at"),
+    )
 
 
 def menu_items(spark: SparkSession, v: Volume, version: int = 1) -> DataFrame:
@@ -123,25 +146,36 @@ def menu_items(spark: SparkSession, v: Volume, version: int = 1) -> DataFrame:
 
 
 def order_hour(n: Column) -> Column:
-    """Noon hours 32 %, evening hours 30 %, the other hours from 6 to 23 the rest."""
+    """An hour of the first peak, of the second, or one of the others from 6 to 23, by ``PEAK_SHARES``."""
     others = [h for h in range(6, 24) if h not in PEAKS[0] + PEAKS[1]]
     u, w = uniform("period", n), uniform("hour", n)
     pick = lambda hours: F.element_at(F.array(*[F.lit(h) for h in hours]), (F.floor(w * len(hours)) + 1).cast("int"))
-    return F.when(u < 0.32, pick(PEAKS[0])).when(u < 0.62, pick(PEAKS[1])).otherwise(pick(others))
+    return F.when(u < PEAK_SHARES[0], pick(PEAKS[0])).when(u < sum(PEAK_SHARES), pick(PEAKS[1])).otherwise(pick(others))
+
+
+def buyer(v: Volume, n: Column) -> Column:
+    """Whose order it is: of up to ``vip_weight`` draws the first that is a VIP, else the last."""
+    draws = [whole(uniform(f"who{k}", n), 0, v.customers - 1) for k in range(v.vip_weight)]
+    return reduce(lambda rest, d: F.when(is_vip(d), d).otherwise(rest), reversed(draws[:-1]), draws[-1])
 
 
 def orders(spark: SparkSession, v: Volume) -> DataFrame:
-    """One row an order; totals are filled in by ``with_totals``."""
-    n = F.col("id")
+    """One row an order, delivered in its customer's city but for ``cross_city``; totals are filled in by ``with_totals``."""
+    n, who = F.col("id"), F.col("_who")
     status, at = weighted(uniform("status", n), STATUS), _at(START, v.days, uniform("day", n)) + F.make_dt_interval(F.lit(0), order_hour(n), whole(uniform("minute", n), 0, 59).cast("int"))
     unassigned = (status == "cancelled") & (uniform("unassigned", n) < 0.4)
-    rows = spark.range(v.orders).select(
-        code("ORD", 9, n).alias("order_id"), _id("customer", whole(uniform("who", n), 0, v.customers - 1)).alias("customer_id"), code("RST", 6, whole(uniform("where", n), 0, v.restaurants - 1)).alias("restaurant_id"),
+    city = F.when(uniform("cross", n) < v.cross_city, weighted(uniform("ocity", n), {c: 1.0 for c in CITY})).otherwise(weighted(uniform("city", who), CITY))
+    reason = F.when(status == "cancelled", weighted(uniform("reason", n), {c: 1.0 for c in REASONS}))
+    rows = spark.range(v.orders).withColumn("_who", buyer(v, n)).select(
+        code("ORD", 9, n).alias("order_id"), _id("customer", who).alias("customer_id"), code("RST", 6, whole(uniform("where", n), 0, v.restaurants - 1)).alias("restaurant_id"),
         F.when(~unassigned, code("DRV", 6, whole(uniform("driver", n), 0, v.drivers - 1))).alias("driver_id"), at.alias("order_time"), status.alias("status"), weighted(uniform("pay", n), PAYMENT).alias("payment_method"),
-        weighted(uniform("ocity", n), CITY).alias("delivery_city"), F.round(humped("km", 0.3, 15.0, n), 2).alias("distance_km"), F.when(status == "cancelled", F.lit("R1")).alias("cancelled_reason_code"),
+        city.alias("delivery_city"), F.round(humped("km", 0.3, 15.0, n), 2).alias("distance_km"), reason.alias("cancelled_reason_code"),
+        F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])[reason].alias("cancelled_reason_text"),
     )
-    minutes = F.make_dt_interval(F.lit(0), F.lit(0), whole(uniform("arrive", F.col("order_id")), 15, 60).cast("int"))
-    return rows.withColumns({"estimated_delivery_time": F.col("order_time") + minutes, "ingested_at": F.col("order_time") + minutes})
+    o = F.col("order_id")
+    minutes = lambda seed, low, high: F.make_dt_interval(F.lit(0), F.lit(0), whole(uniform(seed, o), low, high).cast("int"))
+    planned = F.col("order_time") + minutes("arrive", 15, 60)
+    return rows.withColumns({"estimated_delivery_time": planned, "actual_delivery_time": F.when(F.col("status") == "completed", planned + minutes("delay", -10, 25)), "ingested_at": planned})
 
 
 def order_items(spark: SparkSession, v: Volume) -> DataFrame:
@@ -157,7 +191,7 @@ def order_items(spark: SparkSession, v: Volume) -> DataFrame:
 def with_totals(placed: DataFrame, items: DataFrame, v: Volume) -> DataFrame:
     """Orders with the sum of their items as total, 0 for none, off by some thousands at the rate of mismatches."""
     sums = items.groupBy("order_id").agg(F.sum("subtotal").alias("_sum"))
-    drift = F.when(uniform("drift", F.col("order_id")) < v.amount_mismatch, F.element_at(F.array(*[F.lit(x) for x in (-50_000, -20_000, 15_000, 40_000)]), whole(uniform("which", F.col("order_id")), 1, 4).cast("int"))).otherwise(0)
+    drift = F.when(uniform("drift", F.col("order_id")) < v.amount_mismatch, F.element_at(F.array(*[F.lit(x) for x in DRIFTS]), whole(uniform("which", F.col("order_id")), 1, len(DRIFTS)).cast("int"))).otherwise(0)
     return placed.join(sums, "order_id", "left").withColumn("total_amount", F.greatest(F.coalesce("_sum", F.lit(0)) + drift, F.lit(0).cast("bigint"))).drop("_sum")
 
 
@@ -166,7 +200,7 @@ def reviews(placed: DataFrame, v: Volume) -> DataFrame:
     n = F.col("order_id")
     wrong = uniform("wrong", n) < v.wrong_review
     return placed.where((F.col("status") == "completed") & (uniform("review", n) < v.review_rate)).select(
-        F.concat(F.lit("REV"), F.substring("order_id", 4, 9)).alias("review_id"), "order_id", "customer_id", F.when(wrong, code("RST", 6, whole(uniform("other", n), 0, v.restaurants - 1))).otherwise(F.col("restaurant_id")).alias("restaurant_id"), whole(uniform("stars", n), 1, 5).alias("rating")
+        F.concat(F.lit("REV"), F.substring("order_id", 4, 9)).alias("review_id"), "order_id", "customer_id", F.when(wrong, code("RST", 6, whole(uniform("other", n), 0, v.restaurants - 1))).otherwise(F.col("restaurant_id")).alias("restaurant_id"), whole(uniform("stars", n), 1, 5).alias("rating"), F.col("ingested_at")
     )
 
 
