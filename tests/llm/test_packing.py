@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemill.llm.packing import batch_plan, fill, length_buckets, pack
+from tidemill.llm.packing import audit, batch_plan, fill, length_buckets, pack, split_documents
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -65,6 +65,9 @@ def test_pack_with_ties_long_documents_nulls_and_a_hot_length(spark):
     got = pack(df, caps, buckets=8).collect()
     assert {r["capacity_tokens"] for r in got} == {64, 200}
     brute_checks(got, sizes)
+    both = pack(df, caps, buckets=8)
+    assert {(r["capacity_tokens"], r["doc_id"]) for r in split_documents(both).collect()} == {(c, d) for c in (64, 200) for d, n in sizes.items() if n > c}
+    assert {(r["capacity_tokens"], r["tokens"], r["overfull"], r["needless"]) for r in audit(both).collect()} == {(c, sum(sizes.values()), 0, 0) for c in (64, 200)}
     assert {r["capacity_tokens"]: r["fill_share"] > 0.8 for r in fill(pack(df, caps)).collect()} == {64: True, 200: True}
 
 
@@ -73,4 +76,4 @@ def test_pack_of_nothing(spark):
     caps = spark.createDataFrame([(64,)], "capacity_tokens long")
     assert pack(empty, caps).collect() == []
     assert pack(spark.createDataFrame([(1, 5)], "doc_id long, tokens long"), caps.limit(0)).collect() == []
-    assert fill(pack(empty, caps)).collect() == []
+    assert fill(pack(empty, caps)).collect() == split_documents(pack(empty, caps)).collect() == audit(pack(empty, caps)).collect() == []

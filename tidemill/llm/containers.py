@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.text import tidy
 from tidemill.llm.mixing import SEED, mix, reached
-from tidemill.llm.packing import fill, pack
+from tidemill.llm.packing import audit, fill, pack, split_documents
 from tidemill.llm.tokens import sized
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
@@ -21,29 +21,42 @@ SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\
 SQL_TOKENS = rf"coalesce(len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_{SPACES}]+')), 0)"
 
 
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return sized(spread(table(spark, folder, "documents").select("doc_id", "text")), ["doc_id"])
+
+
 def packed(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread(table(spark, folder, "documents").select("doc_id", "text"))
-    return pack(sized(documents, ["doc_id"]), table(spark, folder, "pack_capacities"))
+    return pack(token_counts(spark, folder), table(spark, folder, "pack_capacities"))
 
 
 @REGISTRY.add("p7_found", f"select capacity_tokens, doc_id from (select doc_id, {SQL_TOKENS} n from documents) d join pack_capacities c on d.n > c.capacity_tokens")
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return packed(spark, folder).where("piece = 0 and pieces > 1").select("capacity_tokens", "doc_id")
+    """The documents whose tokens stand in more than one of the containers that the plan formed."""
+    return split_documents(packed(spark, folder)).select("capacity_tokens", "doc_id")
 
 
-@REGISTRY.add(
-    "p7_pieces",
-    f"""select capacity_tokens, doc_id, piece, least(n - piece * capacity_tokens, capacity_tokens)::bigint tokens
+SQL_PIECES = f"""select capacity_tokens, doc_id, piece, least(n - piece * capacity_tokens, capacity_tokens)::bigint tokens
   from (select *, unnest(range(0, ((n + capacity_tokens - 1) // capacity_tokens)::bigint)) piece
-    from (select doc_id, {SQL_TOKENS} n from documents) d, pack_capacities c where n > 0)""",
-)
+    from (select doc_id, {SQL_TOKENS} n from documents) d, pack_capacities c where n > 0)"""
+
+
+@REGISTRY.add("p7_pieces", SQL_PIECES)
 def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return packed(spark, folder).select("capacity_tokens", "doc_id", "piece", "tokens")
 
 
+@REGISTRY.add("p7_audit", f"select capacity_tokens, count(*) items, sum(tokens)::bigint tokens, 0::bigint overfull, 0::bigint needless from ({SQL_PIECES}) group by 1")
+def p7_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """Every piece and token stands in one container, no container is overfull, nothing is split without need."""
+    return audit(packed(spark, folder))
+
+
 @REGISTRY.add("p7_fill")
 def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return fill(packed(spark, folder))
+    """How full containers are, of batches formed inside their bucket alone and of those topped up from shorter buckets."""
+    documents, capacities = cut(token_counts(spark, folder)), table(spark, folder, "pack_capacities")
+    forms = [fill(pack(documents, capacities, top_up=t)).withColumn("form", F.lit("topped up" if t else "pure")) for t in (True, False)]
+    return forms[0].unionByName(forms[1])
 
 
 def sourced(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -86,8 +86,9 @@ def pack(documents: DataFrame, capacities: DataFrame, buckets: int = BUCKETS, to
     """Put documents (doc_id, tokens) into containers of each capacity (capacity_tokens).
 
     Rows are (capacity_tokens, container_id, doc_id, piece, pieces, first_token, tokens, bucket_tokens). Only a
-    document longer than the capacity is split: into containers that it fills alone (bucket_tokens = capacity)
-    and one shorter piece, which is an item like any other. Documents without tokens or id take no space and are
+    document longer than the capacity is split: into pieces as long as the capacity and one shorter piece. Pieces are
+    items like any other: they are counted in the histogram, fall into buckets and form batches by the plan
+    (one as long as the capacity fills its container). Documents without tokens or id take no space and are
     left out, as are capacities that are null or under 1; a repeated capacity counts once, and a doc_id that
     occurs twice is two documents. A bucket holds any number of items: they are ranked over ranges of even
     size. To the driver come only the histogram of lengths (at most as many rows as the sum of capacities) and
@@ -99,26 +100,25 @@ def pack(documents: DataFrame, capacities: DataFrame, buckets: int = BUCKETS, to
     each = held.withColumn("capacity_tokens", F.explode(F.array(*[F.lit(c).cast("bigint") for c in sizes]) if sizes else F.array().cast("array<bigint>")))
     each = each.withColumns({"full": F.expr("all_tokens div capacity_tokens"), "rest": F.expr("all_tokens % capacity_tokens")})
     each = each.withColumn("pieces", F.col("full") + (F.col("rest") > 0).cast("bigint"))
-    shown = ["capacity_tokens", "container_id", "doc_id", "piece", "pieces", "first_token", "tokens", "bucket_tokens"]
-    alone = (
-        each.where("full > 0")
-        .withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1)))
-        .withColumns({"container_id": F.concat_ws("-", F.lit("full"), "doc_id", "piece"), "first_token": F.expr("piece * capacity_tokens"), "tokens": F.col("capacity_tokens"), "bucket_tokens": F.col("capacity_tokens")})
-    )
-    histogram = each.where("rest > 0").groupBy("capacity_tokens", "rest").count().collect()
+    # counted without making the pieces: those as long as the capacity, and the shorter ones
+    lengths_of = F.array(F.struct(F.col("capacity_tokens").alias("length"), F.col("full").alias("n")), F.struct(F.col("rest").alias("length"), F.lit(1).cast("bigint").alias("n")))
+    counted = each.select("capacity_tokens", F.inline(lengths_of)).where("length > 0 and n > 0").groupBy("capacity_tokens", "length").agg(F.sum("n").alias("n"))
+    histogram = counted.collect()
     bounds_of, plans = {}, {}
     for c in sizes:
-        own = sorted((r["rest"], r["count"]) for r in histogram if r["capacity_tokens"] == c)
+        own = sorted((r["length"], r["n"]) for r in histogram if r["capacity_tokens"] == c)
         lengths, counts = np.array([x for x, _ in own], np.int64), np.array([n for _, n in own], np.int64)
         bounds = length_buckets(lengths, counts, buckets) if own else lengths
         bounds_of[c] = bounds
         plans[c] = batch_plan(bounds, np.bincount(np.searchsorted(bounds, lengths), counts, len(bounds)).astype(np.int64) if own else counts, c, top_up)
-    buckets_of = [(int(r["capacity_tokens"]), int(r["rest"]), int(b), int(bounds_of[r["capacity_tokens"]][b])) for r in histogram for b in [np.searchsorted(bounds_of[r["capacity_tokens"]], r["rest"])]]
+    buckets_of = [(int(r["capacity_tokens"]), int(r["length"]), int(b), int(bounds_of[r["capacity_tokens"]][b])) for r in histogram for b in [np.searchsorted(bounds_of[r["capacity_tokens"]], r["length"])]]
     # as many rows as the histogram, which the capacities bound
-    lookup = F.broadcast(spark.createDataFrame(buckets_of, "capacity_tokens bigint, rest bigint, bucket bigint, bucket_tokens bigint"))
-    items = each.where("rest > 0").join(lookup, ["capacity_tokens", "rest"])
-    order = ["capacity_tokens", "bucket", "doc_id", "rest", "full"]
-    ranked = with_rank(ranged(items, order), ["capacity_tokens", "bucket"], "rank")
+    lookup = F.broadcast(spark.createDataFrame(buckets_of, "capacity_tokens bigint, tokens bigint, bucket bigint, bucket_tokens bigint"))
+    pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1)))
+    items = pieces.withColumn("tokens", F.when(F.col("piece") < F.col("full"), F.col("capacity_tokens")).otherwise(F.col("rest"))).join(lookup, ["capacity_tokens", "tokens"])
+    items = items.select("capacity_tokens", "bucket", "doc_id", "piece", "pieces", "tokens", "bucket_tokens")
+    order = ["capacity_tokens", "bucket", "doc_id", "piece", "tokens", "pieces"]
+    ranked = with_rank(ranged(items, order, rows=sum(r["n"] for r in histogram)), ["capacity_tokens", "bucket"], "rank")
 
     def placed(capacity: pa.Array, bucket: pa.Array, rank: pa.Array) -> pa.Array:
         cs, bs, rs = (np.asarray(x.to_numpy(zero_copy_only=False)) for x in (capacity, bucket, rank))
@@ -130,15 +130,27 @@ def pack(documents: DataFrame, capacities: DataFrame, buckets: int = BUCKETS, to
             out[rows] = at[:, 3] + (rs[rows] - at[:, 1]) // at[:, 2]
         return pa.array(out, pa.int64())
 
-    batched = ranked.withColumns(
-        {
-            "container_id": F.concat_ws("-", F.lit("batch"), F.arrow_udf(placed, "bigint")("capacity_tokens", "bucket", "rank")),
-            "piece": F.col("full"),
-            "first_token": F.expr("full * capacity_tokens"),
-            "tokens": F.col("rest"),
-        }
-    )
-    return batched.select(*shown).unionByName(alone.select(*shown))
+    batched = ranked.withColumns({"container_id": F.arrow_udf(placed, "bigint")("capacity_tokens", "bucket", "rank"), "first_token": F.expr("piece * capacity_tokens")})
+    return batched.select("capacity_tokens", "container_id", "doc_id", "piece", "pieces", "first_token", "tokens", "bucket_tokens")
+
+
+def split_documents(packed: DataFrame) -> DataFrame:
+    """(capacity_tokens, doc_id, containers_from, containers_to) of documents that stand in more than one container.
+
+    As a document is split only if it exceeds the capacity, these are the longer ones.
+    """
+    spans = packed.where("pieces > 1").groupBy("capacity_tokens", "doc_id").agg(F.min("container_id").alias("containers_from"), F.max("container_id").alias("containers_to"))
+    return spans.where("containers_from < containers_to")
+
+
+def audit(packed: DataFrame) -> DataFrame:
+    """(capacity_tokens, items, tokens, overfull, needless): what the containers hold, and what must be 0.
+
+    overfull counts containers with more tokens than the capacity; needless counts pieces, but for a document's
+    last, that don't fill a container.
+    """
+    one = packed.groupBy("capacity_tokens", "container_id").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.count_if((F.col("piece") < F.col("pieces") - 1) & (F.col("tokens") < F.col("capacity_tokens"))).alias("needless"))
+    return one.groupBy("capacity_tokens").agg(F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.count_if(F.col("tokens") > F.col("capacity_tokens")).alias("overfull"), F.sum("needless").alias("needless"))
 
 
 def fill(packed: DataFrame) -> DataFrame:
