@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import second_text, tidy
-from tidemill.operators.history import change_counts, moments, satellites, split_by_rate, versions
-from tidemill.operators.ordered import ranged
+from tidemill.operators.history import Layout, append, change_counts, first_load, moments, split_by_rate, view
+from tidemill.operators.ordered import place
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
+from tidemill.session import cut, shared_folder
 from tidemill.sources.tables import table
 
 REGISTRY = Registry()
 ATTRIBUTES = ["city", "district", "segment"]
+TYPES = {c: "string" for c in ATTRIBUTES}
+#: raw_customers before dim_customer, then the latest ingested.
+PRIORITY = ["raw", "ingested_at", "sk"]
+#: Rows that came in before this are the first of two loads.
+SECOND_LOAD = "2026-04-20"
 
 
 def readings(spark: SparkSession, folder: str) -> DataFrame:
-    """What is known of customers at each moment: raw_customers before dim_customer, then the latest ingested."""
+    """What is known of customers at each moment: (customer_id, at, city, district, segment, raw, ingested_at, sk)."""
     shown = [tidy("customer_id").alias("customer_id"), *[tidy(c).alias(c) for c in ATTRIBUTES]]
     raw = table(spark, folder, "raw_customers").select(*shown, F.col("snapshot_ts").alias("at"), F.lit(1).alias("raw"), "ingested_at", F.lit(None).cast("bigint").alias("sk"))
     dim = table(spark, folder, "dim_customer").select(*shown, F.col("valid_from_ts").alias("at"), F.lit(0).alias("raw"), F.lit(None).cast("timestamp_ntz").alias("ingested_at"), F.col("customer_sk").alias("sk"))
-    both = raw.unionByName(dim)
-    return moments(both, "customer_id", "at", ATTRIBUTES, [F.col("raw"), F.col("ingested_at"), F.col("sk")])
+    return raw.unionByName(dim)
 
 
 SQL_VERSIONS = f"""
@@ -41,12 +46,11 @@ with r as (
 )"""
 
 
-def history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """The placed moments, and the versions made of satellites split by the change rates found."""
-    most = sum(table(spark, folder, t).count() for t in ("raw_customers", "dim_customer"))
-    placed = ranged(readings(spark, folder), ["customer_id", "at"], rows=most, unique=True)
-    groups = split_by_rate(change_counts(placed, "customer_id", ATTRIBUTES))
-    return placed, versions(satellites(placed, "customer_id", "at", groups), "customer_id", "at")
+def load(rows: DataFrame) -> tuple[Layout, DataFrame, DataFrame]:
+    """A first load: satellites split by the change rates found, and the rows of both tables."""
+    placed = place(moments(rows, "customer_id", "at", ATTRIBUTES, PRIORITY), ["customer_id"], ["at"], unique=True)
+    layout = Layout("customer_id", "at", split_by_rate(change_counts(placed, ATTRIBUTES)), PRIORITY)
+    return layout, *first_load(placed, layout)
 
 
 @REGISTRY.add(
@@ -54,16 +58,37 @@ def history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     SQL_VERSIONS + " select id customer_id, strftime(at_, '%Y-%m-%d %H:%M:%S') valid_from, coalesce(strftime(until, '%Y-%m-%d %H:%M:%S'), '') valid_to from v",
 )
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, found = history(spark, folder)
+    layout, _, satellites = load(readings(spark, folder))
+    found = view(satellites, layout, TYPES)
     return found.select("customer_id", second_text(F.col("valid_from")).alias("valid_from"), F.coalesce(second_text(F.col("valid_to")), F.lit("")).alias("valid_to"))
 
 
-@REGISTRY.add(
-    "p6_history",
-    SQL_VERSIONS + " select id customer_id, city, district, segment, at_ valid_from_ts, until valid_to_ts, until is null is_current from v",
-)
+SQL_HISTORY = SQL_VERSIONS + " select id customer_id, city, district, segment, at_ valid_from_ts, until valid_to_ts, until is null is_current from v"
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("customer_id", *ATTRIBUTES, F.col("valid_from").alias("valid_from_ts"), F.col("valid_to").alias("valid_to_ts"), "is_current")
+
+
+@REGISTRY.add("p6_history", SQL_HISTORY)
 def p6_history(spark: SparkSession, folder: str) -> DataFrame:
-    placed, found = history(spark, folder)
-    return placed.join(found.withColumnRenamed("valid_from", "at"), ["customer_id", "at"]).select(
-        "customer_id", *ATTRIBUTES, F.col("at").alias("valid_from_ts"), F.col("valid_to").alias("valid_to_ts"), "is_current"
-    )
+    """The versions with what the satellites hold of them."""
+    layout, _, satellites = load(readings(spark, folder))
+    return _shown(view(satellites, layout, TYPES))
+
+
+@REGISTRY.add("p6_history_of_two_loads", SQL_HISTORY)
+def p6_history_of_two_loads(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a store written by two loads: dim_customer and what came in before ``SECOND_LOAD``, then the rest, late readings among it."""
+    rows = readings(spark, folder)
+    late = (F.col("raw") == 1) & (F.coalesce(F.col("ingested_at") >= F.lit(SECOND_LOAD).cast("timestamp_ntz"), F.lit(False)))
+    layout, seen, satellites = load(rows.where(~late))
+    store = {"seen": shared_folder(spark, "seen"), "satellites": shared_folder(spark, "satellites")}
+    for name, df in (("seen", seen), ("satellites", satellites)):
+        df.write.mode("append").parquet(store[name])
+    stored = {name: spark.read.schema(df.schema).parquet(store[name]) for name, df in (("seen", seen), ("satellites", satellites))}
+    # both are made before either is written
+    more = [cut(df) for df in append(stored["seen"], stored["satellites"], rows.where(late), layout)]
+    for name, df in zip(store, more, strict=True):
+        df.write.mode("append").parquet(store[name])
+    return _shown(view(spark.read.schema(satellites.schema).parquet(store["satellites"]), layout, TYPES))
