@@ -46,3 +46,11 @@ def combine(parts: DataFrame, keys: list[str], sums: list[str] | None = None, by
         *[F.sum(c).alias(c) for c in sums or []],
         F.count("*").alias("parts"),
     )
+
+
+def merge_batches(parts: DataFrame, upto_batch: int, keys: list[str] | None = None) -> DataFrame:
+    """Incremental merge: partials of batches (numbered) up to ``upto_batch`` as one of that number, later ones as they are."""
+    own = keys or ["driver_id"]
+    sums = [c for c in parts.columns if c not in (*own, "window_us", "batch", "on_time", "late", "refused", "first_us", "last_us")]
+    old = combine(parts.where(F.col("batch") <= upto_batch), own, sums).drop("parts").withColumn("batch", F.lit(upto_batch).cast("bigint"))
+    return old.unionByName(parts.where(F.col("batch") > upto_batch).select(*old.columns))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import clock_micros, micros_to_ntz, second_text, tidy_upper
-from tidemill.operators.late import combine, partials
+from tidemill.operators.late import combine, merge_batches, partials
 from tidemill.operators.quotient import quotient_dedup
 from tidemill.plans.registry import Registry
+from tidemill.session import shared_folder
 from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
@@ -98,17 +99,17 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@REGISTRY.add(
-    "p5_driver_periods",
+SQL_DRIVER_PERIODS = (
     SQL_PERIODS
     + """ select driver_id, strftime(make_timestamp(w), '%Y-%m-%d %H:%M:%S') window_start,
     count(*) filter (lag_us < 0) on_time, count(*) filter (lag_us >= 0 and lag_us < 1800000000) late, count(*) filter (lag_us >= 1800000000) refused,
     count(*) filter (lag_us < 1800000000) events,
     coalesce((max(event_us) filter (lag_us < 1800000000) - min(event_us) filter (lag_us < 1800000000)) // 1000, 0) span_ms
-  from e group by driver_id, w""",
+  from e group by driver_id, w"""
 )
-def p5_driver_periods(spark: SparkSession, folder: str) -> DataFrame:
-    periods = combine(period_partials(spark, folder), ["driver_id"])
+
+
+def shown_periods(periods: DataFrame) -> DataFrame:
     return periods.select(
         "driver_id",
         second_text(micros_to_ntz(F.col("window_us"))).alias("window_start"),
@@ -118,3 +119,21 @@ def p5_driver_periods(spark: SparkSession, folder: str) -> DataFrame:
         (F.col("on_time") + F.col("late")).alias("events"),
         F.coalesce(F.expr("(last_us - first_us) div 1000"), F.lit(0).cast("bigint")).alias("span_ms"),
     )
+
+
+@REGISTRY.add("p5_driver_periods", SQL_DRIVER_PERIODS)
+def p5_driver_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return shown_periods(combine(period_partials(spark, folder), ["driver_id"]))
+
+
+@REGISTRY.add("p5_merged_periods", SQL_DRIVER_PERIODS)
+def p5_merged_periods(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a store of partials by week of arrival, whose first half of weeks is merged into one batch before it is read."""
+    week = F.coalesce(F.floor(F.unix_micros(F.col("batch").cast("timestamp")) / (7 * 86_400 * 1_000_000)).cast("bigint"), F.lit(-1).cast("bigint"))
+    store, merged = shared_folder(spark, "periods"), shared_folder(spark, "merged")
+    rows = period_partials(spark, folder).withColumn("batch", week)
+    rows.hint("rebalance", "batch").write.mode("append").partitionBy("batch").parquet(store)
+    parts = spark.read.schema(rows.schema).parquet(store)
+    first, last = parts.agg(F.min("batch"), F.max("batch")).first()
+    merge_batches(parts, (first + last) // 2 if last is not None else -1).write.mode("append").partitionBy("batch").parquet(merged)
+    return shown_periods(combine(spark.read.schema(rows.schema).parquet(merged), ["driver_id"]))
