@@ -63,6 +63,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: lineage is cut, and columns are stored compressed and read one by one."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.mode("append").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def delete_folder(spark: SparkSession, folder: str) -> bool:
     """Delete a folder with all it holds, on whatever file system it is; whether there was one."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
