@@ -70,6 +70,14 @@ def test_long_values_many_records_and_empty(spark):
     assert changes(nulls).collect() == []
 
 
+def test_any_field_may_be_the_key(spark):
+    rows = lambda name: [{"the sku": f" S{i}", name: f"v{i}"} for i in range(4)]
+    df = frame(spark, {("F", 1): rows("a"), ("F", 2): rows("b")})
+    assert {(r["field"], r["change"], r["new_field"]) for r in changes(df, "the sku").collect()} == {("a", "renamed", "b")}
+    assert {r["item"] for r in unified(df, changes(df, "the sku"), "the sku").collect()} == {"s0", "s1", "s2", "s3"}
+    assert {(r["field"], r["change"]) for r in changes(df).collect()} == {("a", "removed"), ("b", "added")}
+
+
 def test_unified_follows_chains(spark):
     files = {("F", 1): [item(1, a=1)], ("F", 2): [item(1, b=1), item(1, b=1)], ("F", 3): [item(1, c=1)], ("F", 4): [item(1, a="new", c=1)]}
     df = frame(spark, files)

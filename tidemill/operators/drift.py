@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemill.functions.text import tidy
-from tidemill.operators.ordered import ranged, with_neighbour
+from tidemill.operators.ordered import place
 from tidemill.operators.sized import skew_join
-from tidemill.session import cut
+from tidemill.session import cut, written
 
 #: Value sketches hold up to 2**SKETCH_LG hashes; smaller sets are held exactly.
 SKETCH_LG = 12
 FILE = ["feed_id", "file_no"]
+#: The field that names what a record is of.
+ITEM = "menu_item_id"
 
 
 def records(files: DataFrame) -> DataFrame:
@@ -27,8 +28,13 @@ def records(files: DataFrame) -> DataFrame:
     return parsed.where("feed_id is not null and file_no is not null and startswith(schema_of_variant(v), 'OBJECT')")
 
 
-def _explode(rows: DataFrame) -> DataFrame:
-    """One row a field of a record, with its name, kind (null for a null value) and value as text."""
+def fields_of(files: DataFrame, key: str = ITEM) -> DataFrame:
+    """One row a field of a readable record, parsed once and kept: (feed_id, file_no, file_id, line_no, item, name, kind, val).
+
+    ``kind`` is null for a null value; ``val`` is the value as text; ``item`` is the record's value of ``key``, trimmed
+    and in lower case.
+    """
+    rows = records(files)
     long = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
     t = F.schema_of_variant("value")
     kind = (
@@ -39,7 +45,8 @@ def _explode(rows: DataFrame) -> DataFrame:
         .otherwise("string")
     )
     as_text = F.when(kind == "double", F.try_variant_get("value", "$", "double").cast("string")).otherwise(F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value")))
-    return long.select(*FILE, "file_id", "line_no", "v", F.col("key").alias("name"), kind.alias("kind"), F.when(kind.isNotNull(), as_text).alias("val"))
+    item = tidy(F.try_variant_get("v", f"$['{key}']", "string"))
+    return written(long.select(*FILE, "file_id", "line_no", item.alias("item"), F.col("key").alias("name"), kind.alias("kind"), F.when(kind.isNotNull(), as_text).alias("val")), "fields")
 
 
 def profiles(fields: DataFrame) -> DataFrame:
@@ -103,11 +110,25 @@ def best_matching(weights: list[list[float]]) -> list[int]:
 
 
 def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    olds, news = sorted(set(pdf["old"])), sorted(set(pdf["new"]))
-    weights = [[0.0] * len(news) for _ in olds]
-    for old, new, w in zip(pdf["old"], pdf["new"], pdf["weight"], strict=True):
-        weights[olds.index(old)][news.index(new)] = w
-    pairs = [(olds[i], news[j]) for i, j in enumerate(best_matching(weights)) if j >= 0]
+    """The matching of one file: fields that no edge links, directly or over others, are matched apart."""
+    part: dict[tuple[str, str], tuple[str, str]] = {}
+
+    def root(x: tuple[str, str]) -> tuple[str, str]:
+        while part.setdefault(x, x) != x:
+            part[x] = part[part[x]]
+            x = part[x]
+        return x
+
+    for old, new in zip(pdf["old"], pdf["new"], strict=True):
+        part[root(("old", old))] = root(("new", new))
+    pairs = []
+    for _, some in pdf.groupby([str(root(("old", x))) for x in pdf["old"]]):
+        olds, news = sorted(set(some["old"])), sorted(set(some["new"]))
+        row, col = {x: i for i, x in enumerate(olds)}, {x: i for i, x in enumerate(news)}
+        weights = [[0.0] * len(news) for _ in olds]
+        for old, new, w in zip(some["old"], some["new"], some["weight"], strict=True):
+            weights[row[old]][col[new]] = w
+        pairs += [(olds[i], news[j]) for i, j in enumerate(best_matching(weights)) if j >= 0]
     return pd.DataFrame({"feed_id": pdf["feed_id"].iloc[0], "file_no": pdf["file_no"].iloc[0], "old": [a for a, _ in pairs], "new": [b for _, b in pairs]})
 
 
@@ -129,55 +150,55 @@ def renames(values: DataFrame) -> DataFrame:
     slack = 6 * (F.col("n_old") + F.col("n_new")) / F.lit(2.0 ** (SKETCH_LG / 2))
     slack = F.when(F.greatest("n_old", "n_new") < 2**SKETCH_LG, 0.0).otherwise(slack)
     likely = pairs.where(2 * (overlap("of_values") + slack) > overlap("of_items") - slack).select(*FILE, "old", "new")
+    likely = cut(likely)
     old = values.where("side = 'old'").select(*FILE, F.col("name").alias("old"), "item", F.col("kind").alias("kind_old"), F.col("val").alias("val_old"))
     new = values.where("side = 'new'").select(*FILE, F.col("name").alias("new"), "item", "kind", "val")
-    both = old.join(likely, [*FILE, "old"]).join(new, [*FILE, "new", "item"])
+    # a file with a third of all rows is spread by item
+    both = skew_join(old, likely, [*FILE, "old"], salt_from=F.xxhash64("item")).join(new, [*FILE, "new", "item"])
     counted = both.groupBy(*FILE, "old", "new").agg(F.count("*").alias("both"), F.count_if((F.col("kind") == F.col("kind_old")) & (F.col("val") == F.col("val_old"))).alias("same"))
     edges = counted.where("2 * same > both").withColumn("weight", F.col("same") / F.col("both") + 1e-3 * _similar(F.col("old"), F.col("new")) + 1e-6)
     return edges.groupBy(*FILE).applyInPandas(_match, "feed_id string, file_no bigint, old string, new string")
 
 
-def changes(files: DataFrame) -> DataFrame:
+def changes(files: DataFrame, key: str = ITEM, fields: DataFrame | None = None) -> DataFrame:
     """Every change of each file against the feed's previous one: (feed_id, file_no, file_id, field, change, new_field).
 
     change is added, removed, renamed or type_changed; new_field is empty except for renames. Names are
-    case-sensitive. A field null throughout keeps the type known before. A feed's first file has no changes, and a
-    file without readable records has no fields. An empty input gives an empty result.
+    case-sensitive; records are told apart by their ``key``. A field null throughout keeps the type known before. A
+    feed's first file has no changes, and a file without readable records has no fields. An empty input gives an
+    empty result. ``fields`` are those of ``files``, where they are at hand.
     """
+    fields = fields_of(files, key) if fields is None else fields
     seen = files.select(tidy("feed_id").alias("feed_id"), F.col("file_no").cast("bigint").alias("file_no"), "file_id").where("feed_id is not null and file_no is not null")
-    listed = ranged(seen.groupBy(*FILE).agg(F.min("file_id").alias("file_id")), FILE, unique=True)
-    around = with_neighbour(with_neighbour(listed, ["feed_id"], ["file_no"], "_prev"), ["feed_id"], ["file_no"], "_next", after=True)
-    around = cut(around.select(*FILE, "file_id", F.col("_prev.file_no").alias("prev_no"), F.col("_next.file_no").alias("next_no")))
-    fields = _explode(records(files))
+    listed = place(seen.groupBy(*FILE).agg(F.min("file_id").alias("file_id")), ["feed_id"], ["file_no"], unique=True)
+    around = listed.neighbour(["file_no"], "_prev").neighbour(["file_no", "file_id"], "_next", after=True).rows
+    around = around.select(*FILE, "file_id", F.col("_prev.file_no").alias("prev_no"), F.col("_next.file_no").alias("next_no"), F.col("_next.file_id").alias("next_id"))
     # one row a file and field from here on
-    known = F.last("kind", ignorenulls=True).over(Window.partitionBy("feed_id", "name").orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0))
-    profile = cut(profiles(fields).withColumn("known", known).select(*FILE, "name", "known"))
-    now = profile.join(around.where("prev_no is not null").select(*FILE), FILE).select(*FILE, "name", F.col("known").alias("now"), F.lit(True).alias("is_now"))
-    was = profile.join(around.where("next_no is not null").select(*FILE, "next_no"), FILE).select(
-        "feed_id", F.col("next_no").alias("file_no"), "name", F.col("known").alias("was"), F.lit(True).alias("was_there")
-    )
-    diff = now.join(was, [*FILE, "name"], "full").join(around.select(*FILE, "file_id", "prev_no"), FILE)
-    diff = cut(diff.withColumn("side", F.when(F.col("is_now").isNull(), "old").when(F.col("was_there").isNull(), "new")).where("side is not null or now <> was"))
-    moved = diff.where("side is not null")
+    by_field = Window.partitionBy("feed_id", "name").orderBy("file_no")
+    profile = profiles(fields).join(around, FILE).withColumn("known", F.last("kind", ignorenulls=True).over(by_field.rowsBetween(Window.unboundedPreceding, 0)))
+    held = profile.withColumns({"before_no": F.lag("file_no").over(by_field), "was": F.lag("known").over(by_field), "after_no": F.lead("file_no").over(by_field)})
+    event = lambda side, no, fid: F.struct(F.lit(side).alias("side"), no.alias("of_no"), fid.alias("of_id"))
+    same = F.col("before_no").eqNullSafe(F.col("prev_no"))
+    events = [
+        F.when(F.col("prev_no").isNotNull() & ~same, event("new", F.col("file_no"), F.col("file_id"))),
+        F.when(F.col("prev_no").isNotNull() & same & (F.col("known") != F.col("was")), event("typed", F.col("file_no"), F.col("file_id"))),
+        F.when(F.col("next_no").isNotNull() & ~F.col("after_no").eqNullSafe(F.col("next_no")), event("old", F.col("next_no"), F.col("next_id"))),
+    ]
+    diff = cut(held.select("feed_id", F.col("file_no").alias("at_no"), "name", F.inline(F.array_compact(F.array(*events)))))
+    moved = diff.where("side <> 'typed'")
     # values of a vanished field are in the previous file, those of a new one in this one
-    wanted = moved.select("feed_id", F.when(F.col("side") == "old", F.col("prev_no")).otherwise(F.col("file_no")).alias("at_no"), "name", "side", F.col("file_no").alias("of_no"))
-    held = fields.where("kind is not null").select("feed_id", F.col("file_no").alias("at_no"), "name", "line_no", tidy(F.try_variant_get("v", "$.menu_item_id", "string")).alias("item"), "kind", "val").where("item is not null")
+    told = fields.where("kind is not null and item is not null").select("feed_id", F.col("file_no").alias("at_no"), "name", "line_no", "item", "kind", "val")
     values = (
-        skew_join(held, wanted, ["feed_id", "at_no", "name"], salt_from=F.xxhash64("item"))
+        skew_join(told, moved.drop("of_id"), ["feed_id", "at_no", "name"], salt_from=F.xxhash64("item"))
         .groupBy("feed_id", F.col("of_no").alias("file_no"), "side", "name", "item")
-        .agg(F.min_by(F.struct("kind", "val"), F.struct("line_no", "kind", "val")).alias("_first"))
+        .agg(F.min(F.struct("line_no", "kind", "val")).alias("_first"))
         .select(*FILE, "side", "name", "item", "_first.kind", "_first.val")
     )
     renamed = cut(renames(cut(values)))
-    gone = [*FILE, "name"]
-    left = (
-        moved.join(renamed.select(*FILE, F.col("old").alias("name"), F.lit("old").alias("side")), [*gone, "side"], "left_anti")
-        .join(renamed.select(*FILE, F.col("new").alias("name"), F.lit("new").alias("side")), [*gone, "side"], "left_anti")
-        .select(*FILE, "file_id", F.col("name").alias("field"), F.when(F.col("side") == "old", "removed").otherwise("added").alias("change"), F.lit("").alias("new_field"))
-    )
-    typed = diff.where("side is null").select(*FILE, "file_id", F.col("name").alias("field"), F.lit("type_changed").alias("change"), F.lit("").alias("new_field"))
-    named = renamed.join(around.select(*FILE, "file_id"), FILE).select(*FILE, "file_id", F.col("old").alias("field"), F.lit("renamed").alias("change"), F.col("new").alias("new_field"))
-    return left.unionByName(typed).unionByName(named)
+    ends = renamed.select(*FILE, F.inline(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("name"), F.col("new").alias("_to")) for s in ("old", "new")])))
+    told_of = diff.withColumnRenamed("of_no", "file_no").join(ends, [*FILE, "side", "name"], "left").where("not (side = 'new' and _to is not null)")
+    change = F.when(F.col("side") == "typed", "type_changed").when(F.col("_to").isNotNull(), "renamed").when(F.col("side") == "old", "removed").otherwise("added")
+    return told_of.select(*FILE, F.col("of_id").alias("file_id"), F.col("name").alias("field"), change.alias("change"), F.coalesce("_to", F.lit("")).alias("new_field"))
 
 
 def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -192,21 +213,26 @@ def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["feed_id", "from_no", "name", "root"])
 
 
-def unified(files: DataFrame, found: DataFrame) -> DataFrame:
-    """One table of all items: (feed_id, file_no, file_id, line_no, menu_item_id, fields), a line repeated in its file once.
+def lines_once(files: DataFrame) -> DataFrame:
+    """``files`` (feed_id, file_no, file_id, line_no, record) with a record repeated in its file once, at its first line."""
+    each = files.withColumn("_h", F.sha2("record", 256)).groupBy("feed_id", "file_no", "_h").agg(F.min_by(F.struct("file_id", "line_no", "record"), "line_no").alias("_r"))
+    return each.select("feed_id", "file_no", "_r.*")
+
+
+def unified(files: DataFrame, found: DataFrame, key: str = ITEM, fields: DataFrame | None = None) -> DataFrame:
+    """One table of all items: (feed_id, file_no, file_id, line_no, item, fields), a line repeated in its file once.
 
-    ``fields`` maps every unified name to the value as text. A field goes by the first name of its chain of renames
-    in the feed (``found``, from ``changes``); if a record gives two names of one chain, the non-null value stays.
-    The chain of a feed is followed over its renames and additions only.
+    ``fields`` maps every unified name to the value as text; ``item`` is the record's ``key``. A field goes by the
+    first name of its chain of renames in the feed (``found``, from ``changes``); if a record gives two names of one
+    chain, the greatest value stays. The chain of a feed is followed over its renames and additions only. The argument
+    ``fields`` is ``fields_of(lines_once(files))``, where it is at hand.
     """
     events = found.where("change in ('renamed', 'added')").select(*FILE, "field", "change", "new_field")
     roots = events.groupBy("feed_id").applyInPandas(_roots, "feed_id string, from_no bigint, name string, root string")
-    once = files.withColumn("_h", F.sha2("record", 256)).groupBy("feed_id", "file_no", "_h").agg(F.min_by(F.struct("file_id", "line_no", "record"), "line_no").alias("_r")).select("feed_id", "file_no", "_r.*")
-    fields = _explode(records(once))
+    fields = fields_of(lines_once(files), key) if fields is None else fields
     profile = fields.select(*FILE, "name").distinct()
     mapped = cut(profile.join(roots, ["feed_id", "name"]).where("from_no <= file_no").groupBy(*FILE, "name").agg(F.max_by("root", "from_no").alias("root")).where("root <> name"))
-    long = fields.select(*FILE, "file_id", "line_no", tidy(F.try_variant_get("v", "$.menu_item_id", "string")).alias("menu_item_id"), "name", "val")
-    named = skew_join(long, mapped, [*FILE, "name"], "left").withColumn("root", F.coalesce("root", "name"))
+    named = skew_join(fields.drop("kind"), mapped, [*FILE, "name"], "left", salt_from=F.xxhash64("line_no")).withColumn("root", F.coalesce("root", "name"))
     # a record's few fields come together again; its lines are spread by line number
-    one = named.groupBy(*FILE, "file_id", "line_no", "menu_item_id", "root").agg(F.max("val").alias("val"))
-    return one.groupBy(*FILE, "file_id", "line_no", "menu_item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("root", "val")))).alias("fields"))
+    one = named.groupBy(*FILE, "file_id", "line_no", "item", "root").agg(F.max("val").alias("val"))
+    return one.groupBy(*FILE, "file_id", "line_no", "item").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("root", "val")))).alias("fields"))

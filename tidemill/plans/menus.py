@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import tidy_upper
-from tidemill.operators.drift import changes, unified
+from tidemill.operators.drift import changes, fields_of, lines_once, unified
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
-from tidemill.session import cut
+from tidemill.session import cut, written
 from tidemill.sources.tables import table
 
 REGISTRY = Registry()
@@ -53,21 +53,46 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return changes(table(spark, folder, "menu_file_records")).select("file_id", "field", "change", "new_field")
 
 
-@REGISTRY.add("p4_unified_items")
+SQL_UNIFIED = (
+    SQL_FOUND.replace("with rec as (", "with recursive rec as (", 1).split("\nselect file_id, \"name\" field, 'added'")[0]
+    + f""", came_only as (select * from came where not exists (select 1 from e where e.feed_id = came.feed_id and e.file_no = came.file_no and e.new = came."name")
+), ev as (select feed_id, file_no, new "name", old prior from e union all select feed_id, file_no, "name", null from came_only
+), walk(feed_id, file_no, "name", cur, upto) as (
+  select feed_id, file_no, "name", "name", file_no + 1 from p
+  union all
+  select w.feed_id, w.file_no, w."name", x.prior, x.file_no from walk w, lateral (select prior, ev.file_no from ev where ev.feed_id = w.feed_id and ev."name" = w.cur and ev.file_no < w.upto order by ev.file_no desc limit 1) x where x.prior is not null
+), roots as (select feed_id, file_no, "name", arg_min(cur, upto) root from walk group by all
+), l as (select feed_id, file_no, min(line_no) line_no from rec where r is not null group by feed_id, file_no, r::varchar
+), u as (
+  select v.feed_id, v.file_no, rec.file_id, v.line_no, v.item, root, max(case when kind is null then null when kind = 'double' then (val::double)::varchar else val ->> '$' end) val
+  from v join l using (feed_id, file_no, line_no) join rec using (feed_id, file_no, line_no) join roots using (feed_id, file_no, "name") group by all
+), m as (select file_id, line_no, item, map_from_entries(list((root, val) order by root)) f from u group by file_id, line_no, item)
+select file_id, line_no, upper(item) menu_item_id, upper({sql_tidy("f['restaurant_id']")}) restaurant_id, f['name'] "name", f['category'] category, try_cast(f['price'] as double) price,
+  case when lower(f['is_available']) in ('true', 'yes', '1', '1.0') then true when lower(f['is_available']) in ('false', 'no', '0', '0.0') then false end is_available,
+  try_cast(f['spice_level'] as double) spice_level, array_to_string(list_sort(map_keys(f)), ',') all_names, len(list_filter(map_values(f), lambda x: x is not null)) given from m"""
+)
+
+
+@REGISTRY.add("p4_unified_items", SQL_UNIFIED)
 def p4_unified_items(spark: SparkSession, folder: str) -> DataFrame:
-    """Items under one schema; values that don't fit the type of a named column stay in ``all_fields``."""
-    files = table(spark, folder, "menu_file_records")
+    """Items under one schema, with the unified names that their record has, and how many of them with a value.
+
+    Values that don't fit the type of their column are null here; ``unified`` has all of them as text.
+    """
+    files = written(lines_once(table(spark, folder, "menu_file_records")), "lines")
+    fields = fields_of(files)
     f = lambda c: F.col("fields")[c]
     yes, no = ["true", "yes", "1", "1.0"], ["false", "no", "0", "0.0"]
-    return unified(files, cut(changes(files))).select(
+    return unified(files, cut(changes(files, fields=fields)), fields=fields).select(
         "file_id",
         "line_no",
-        F.upper("menu_item_id").alias("menu_item_id"),
+        F.upper("item").alias("menu_item_id"),
         tidy_upper(f("restaurant_id")).alias("restaurant_id"),
         f("name").alias("name"),
         f("category").alias("category"),
         f("price").try_cast("double").alias("price"),
         F.when(F.lower(f("is_available")).isin(yes), True).when(F.lower(f("is_available")).isin(no), False).alias("is_available"),
         f("spice_level").try_cast("double").alias("spice_level"),
-        F.to_json("fields").alias("all_fields"),
+        F.array_join(F.array_sort(F.map_keys("fields")), ",").alias("all_names"),
+        F.size(F.filter(F.map_values("fields"), lambda x: x.isNotNull())).alias("given"),
     )
