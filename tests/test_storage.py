@@ -8,13 +8,13 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.functions.frames import add_missing, drop_prefixed, missing_columns, nanos_to_timestamp, reindex, require_rows
+from tidemill.functions.frames import add_missing, drop_prefixed, missing_columns, nanos_to_timestamp, preview, reindex, require_rows, shuffle_rows
 from tidemill.functions.geo import haversine_km, interpolate
 from tidemill.functions.hashing import integrity_hash
-from tidemill.operators.layout import compact, explain_timed, probe, refresh, timed, zorder
+from tidemill.operators.layout import compact, explain_timed, probe, rank_bounds, refresh, skipping, timed, vacuum, zorder
 from tidemill.operators.skew import merge_join, salted_join, task_sizes
-from tidemill.sources.scan import TOPIC_LIMIT, drain_topic, footer_schemas, has_column, ingest, read_bronze, read_recursive, read_topic_files, with_source_file
-from tidemill.sources.sinks import mirror_jdbc, overwrite, replace_table, reset_database, routed, write_by_day, write_csv, write_partitions, write_routed, write_small_files, write_versions
+from tidemill.sources.scan import TOPIC_LIMIT, drain_topic, footer_schemas, has_column, ingest, read_bronze, read_jdbc, read_recursive, read_topic_files, with_source_file
+from tidemill.sources.sinks import bulk_load, mirror_jdbc, overwrite, replace_table, reset_database, routed, write_by_day, write_csv, write_partitions, write_routed, write_small_files, write_versions
 from tidemill.sources.specs import TableSpec
 from tidemill.streaming.pings import MESSAGE
 
@@ -79,6 +79,13 @@ def test_layouts_give_the_same_answers_from_fewer_files(spark, tmp_path):
     assert probe(spark.read.parquet(large), condition, "id").first() == want == probe(spark.read.parquet(z), condition, "id").first()
     spans = spark.read.parquet(z).groupBy(F.input_file_name()).agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("hi - lo < 70").count()
     assert spans >= 8  # along a plain order no file would be narrow in a
+    strings = df.select(F.col("a").cast("string").alias("a"), "b").withColumn("id", F.monotonically_increasing_id())
+    strings.repartitionByRange(8, "a").write.parquet(str(tmp_path / "by_a"))
+    seen = skipping(spark, str(tmp_path / "by_a"), {"a": "7"}).first()
+    assert seen["files"] == seen["groups"] == 8 and 1 <= seen["files_read"] == seen["groups_read"] <= 2 and seen["rows_read"] < 10_000
+    hot = spark.range(4000).select(F.when(F.col("id") % 2 == 0, "m").otherwise(F.col("id").cast("string")).alias("t"), "id")
+    assert 28 <= len(rank_bounds(hot, "t")) <= 36 and "m" in rank_bounds(hot, "t")  # half of the rows are one value, so it is half of the bounds
+    assert vacuum(spark, small) and not vacuum(spark, small)
     text, seconds, rows = explain_timed(df.where(condition))
     assert "PushedFilters" in text and rows == want["rows"] and seconds > 0
     with timed("x") as t:
@@ -161,3 +168,23 @@ def test_functions(spark):
     for _ in range(100):
         want = hashlib.sha256(want).hexdigest().encode()
     assert row.select(integrity_hash([F.lit("x"), F.lit(None), F.lit(1)])).first()[0] == want.decode()
+
+
+def test_databases_are_loaded_mirrored_and_read_in_ranges(spark, capsys):
+    url = "jdbc:derby:memory:tidemill;create=true"
+    df = spark.range(1000).select(F.col("id"), (F.col("id") % 7).cast("string").alias("v"))
+    bulk_load(df, url, "loaded", "id", parts=2)
+    back = read_jdbc(spark, url, "loaded", "id", (0, 999), 4)
+    assert back.rdd.getNumPartitions() == 4 and back.exceptAll(df).count() == df.exceptAll(back).count() == 0
+    mirror_jdbc(df.limit(10), url, "loaded")
+    assert read_jdbc(spark, url, "loaded").count() == 10
+    rows = [r["id"] for r in shuffle_rows(df, "id").collect()]
+    assert sorted(rows) == list(range(1000)) and rows != sorted(rows) and rows == [r["id"] for r in shuffle_rows(df.repartition(3), "id").collect()]
+    assert len(preview(df, 3)) == 3 and '"id"' in capsys.readouterr().out
+
+
+def test_more_messages_than_any_default_limit_are_read(spark, tmp_path):
+    value = F.to_json(F.struct(F.col("id").cast("string").alias("event_id")))
+    spark.range(TOPIC_LIMIT + 1).select((F.col("id") % 3).cast("int").alias("partition"), F.col("id").alias("offset"), value.alias("value")).write.json(str(tmp_path / "t"))
+    read = read_topic_files(spark, str(tmp_path / "t"), MESSAGE)
+    assert read.count() == TOPIC_LIMIT + 1 and read_topic_files(spark, str(tmp_path / "t"), MESSAGE, TOPIC_LIMIT).count() == TOPIC_LIMIT

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +50,16 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
 def nanos_to_timestamp(c: Column) -> Column:
     """A timestamp of nanoseconds since 1970 in a bigint, exact to the microsecond."""
     return F.timestamp_micros(F.floor(c / F.lit(1000).cast("decimal(5,0)")).cast("bigint"))
+
+
+def shuffle_rows(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """``df`` in an order drawn by hash of ``key`` and ``seed``: another seed is another order, the same one the same."""
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key)
+
+
+def preview(df: DataFrame, rows: int = 8) -> list[str]:
+    """Print the first ``rows`` rows in full, and give them as JSON texts; no more are computed."""
+    some = [r.asDict(True) for r in df.limit(rows).collect()]
+    out = [json.dumps(r, default=str, ensure_ascii=False) for r in some]
+    print("\n".join(out))
+    return out

@@ -19,13 +19,16 @@ FILE = ["feed_id", "file_no"]
 ITEM = "menu_item_id"
 
 
-def records(files: DataFrame) -> DataFrame:
-    """Readable records as variants: (feed_id, file_no, file_id, line_no, v); a record that isn't an object isn't readable.
+def records(files: DataFrame, key: str = ITEM) -> DataFrame:
+    """Readable records as variants: (feed_id, file_no, file_id, line_no, item, v); a record that isn't an object isn't readable.
 
-    Rows without a feed or number are left out. feed_id is trimmed and in lower case.
+    ``item`` is the record's value of ``key``, trimmed and in lower case. Rows without a feed or number are left
+    out. feed_id is trimmed and in lower case.
     """
-    parsed = files.select(tidy("feed_id").alias("feed_id"), F.col("file_no").cast("bigint").alias("file_no"), "file_id", "line_no", F.try_parse_json("record").alias("v"))
-    return parsed.where("feed_id is not null and file_no is not null and startswith(schema_of_variant(v), 'OBJECT')")
+    # only an object begins with a brace
+    objects = files.where(F.ltrim(F.col("record"), F.lit(" \t\r\n")).startswith("{"))
+    parsed = objects.select(tidy("feed_id").alias("feed_id"), F.col("file_no").cast("bigint").alias("file_no"), "file_id", "line_no", F.try_parse_json("record").alias("v"))
+    return parsed.where("feed_id is not null and file_no is not null and v is not null").withColumn("item", tidy(F.try_variant_get("v", f"$['{key}']", "string")))
 
 
 def fields_of(files: DataFrame, key: str = ITEM) -> DataFrame:
@@ -34,7 +37,7 @@ def fields_of(files: DataFrame, key: str = ITEM) -> DataFrame:
     ``kind`` is null for a null value; ``val`` is the value as text; ``item`` is the record's value of ``key``, trimmed
     and in lower case.
     """
-    rows = records(files)
+    rows = records(files, key)
     long = rows.lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()))
     t = F.schema_of_variant("value")
     kind = (
@@ -45,24 +48,26 @@ def fields_of(files: DataFrame, key: str = ITEM) -> DataFrame:
         .otherwise("string")
     )
     as_text = F.when(kind == "double", F.try_variant_get("value", "$", "double").cast("string")).otherwise(F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value")))
-    item = tidy(F.try_variant_get("v", f"$['{key}']", "string"))
-    return written(long.select(*FILE, "file_id", "line_no", item.alias("item"), F.col("key").alias("name"), kind.alias("kind"), F.when(kind.isNotNull(), as_text).alias("val")), "fields")
+    return written(long.select(*FILE, "file_id", "line_no", "item", F.col("key").alias("name"), kind.alias("kind"), F.when(kind.isNotNull(), as_text).alias("val")), "fields")
+
+
+#: Kinds as bits, so that those of a field are united by an aggregate of fixed width.
+KINDS = {"boolean": 1, "long": 2, "double": 4, "string": 8}
 
 
 def profiles(fields: DataFrame) -> DataFrame:
-    """Per file and field: (feed_id, file_no, name, kind, kinds); kind is null if the field is null throughout.
+    """Per file and field: (feed_id, file_no, name, kind); kind is null if the field is null throughout.
 
     Long and double together are double, any other mixture is string. Combined before the shuffle.
     """
-    kinds = F.array_sort(F.collect_set("kind"))
-    rows = fields.groupBy(*FILE, "name").agg(kinds.alias("kinds"))
-    one = (
-        F.when(F.size("kinds") == 0, F.lit(None).cast("string"))
-        .when(F.size("kinds") == 1, F.col("kinds")[0])
-        .when(F.col("kinds") == F.array(F.lit("double"), F.lit("long")), "double")
-        .otherwise("string")
-    )
-    return rows.withColumn("kind", one)
+    bit = F.lit(0)
+    for kind, n in KINDS.items():
+        bit = F.when(F.col("kind") == kind, n).otherwise(bit)
+    rows = fields.groupBy(*FILE, "name").agg(F.bit_or(bit).alias("_kinds"))
+    one = F.when(F.col("_kinds") == 0, F.lit(None).cast("string"))
+    for kind, n in KINDS.items():
+        one = one.when(F.col("_kinds") == n, kind)
+    return rows.select(*FILE, "name", one.when(F.col("_kinds") == KINDS["long"] + KINDS["double"], "double").otherwise("string").alias("kind"))
 
 
 def _similar(a: Column, b: Column) -> Column:
@@ -157,7 +162,11 @@ def renames(values: DataFrame) -> DataFrame:
     both = skew_join(old, likely, [*FILE, "old"], salt_from=F.xxhash64("item")).join(new, [*FILE, "new", "item"])
     counted = both.groupBy(*FILE, "old", "new").agg(F.count("*").alias("both"), F.count_if((F.col("kind") == F.col("kind_old")) & (F.col("val") == F.col("val_old"))).alias("same"))
     edges = counted.where("2 * same > both").withColumn("weight", F.col("same") / F.col("both") + 1e-3 * _similar(F.col("old"), F.col("new")) + 1e-6)
-    return edges.groupBy(*FILE).applyInPandas(_match, "feed_id string, file_no bigint, old string, new string")
+    ends = edges.withColumns({f"_{s}": F.count("*").over(Window.partitionBy(*FILE, s)) for s in ("old", "new")})
+    ends = cut(ends.withColumn("_alone", (F.col("_old") == 1) & (F.col("_new") == 1)))
+    # an edge that shares no field with others is in every greatest matching; few files have others
+    rest = ends.where(~F.col("_alone")).select(*edges.columns).groupBy(*FILE).applyInPandas(_match, "feed_id string, file_no bigint, old string, new string")
+    return ends.where("_alone").select(*FILE, "old", "new").unionByName(rest)
 
 
 def changes(files: DataFrame, key: str = ITEM, fields: DataFrame | None = None) -> DataFrame:

@@ -3,22 +3,27 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.session import parallelism
+from tidemill.session import delete_folder, parallelism
 
 TARGET_MB = 128
 #: Bits of each column in the curve's key: a column is cut in 2**RANK_BITS even parts.
 RANK_BITS = 6
+#: Rows of a text column that its bounds are drawn from, at most.
+SAMPLE = 16_384
 
 
 def compact(spark: SparkSession, source: str, target: str, target_mb: int = TARGET_MB) -> int:
     """Rewrite a table of small files into files of about ``target_mb``; the number of files.
 
-    ``target`` is another folder: readers keep the old one until they are pointed at it, and it is then
-    deleted by whoever owns it.
+    ``target`` is another folder: readers keep the old one until they are pointed at it; then ``vacuum`` it.
     """
     size = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(source).select(F.sum("length")).first()[0] or 0
     files = max(1, -(-int(size) // (target_mb << 20)))
@@ -37,13 +42,16 @@ def interleave(ranks: list[Column], bits: int = RANK_BITS) -> Column:
 
 
 def rank_bounds(df: DataFrame, column: str, bits: int = RANK_BITS) -> list:
-    """2**bits - 1 values that cut a column in even parts: a sketch of fixed size comes to the driver."""
+    """At most 2**bits - 1 values that cut the rows in even parts: a sample or a sketch of fixed size comes to the driver.
+
+    A value with more rows than a part is one bound, so a city with half of all rows takes half of the parts.
+    """
     kind = dict(df.dtypes)[column]
     if kind in ("string", "date", "timestamp", "timestamp_ntz"):
-        # ranks of text from a bounded sample of distinct values, drawn by hash
-        vals = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(F.xxhash64(column)).limit(16384).orderBy(column).collect()]
-        step = max(1, len(vals) >> bits)
-        return vals[step::step][: (1 << bits) - 1]
+        # a bounded sample of rows, drawn by hash
+        drawn = df.where(F.col(column).isNotNull()).select(column, F.xxhash64(*df.columns).alias("_h")).orderBy("_h", column).limit(SAMPLE)
+        vals = sorted(r[0] for r in drawn.collect())
+        return sorted({vals[k * len(vals) >> bits] for k in range(1, 1 << bits)}) if vals else []
     shares = [k / (1 << bits) for k in range(1, 1 << bits)]
     found = df.agg(F.percentile_approx(column, shares, 10_000)).first()[0]
     return sorted(set(found or []))
@@ -80,6 +88,54 @@ def probe(df: DataFrame, condition: Column, amount: str | None = None) -> DataFr
     return df.where(condition).agg(F.count("*").alias("rows"), total.alias("total"))
 
 
+def vacuum(spark: SparkSession, folder: str) -> bool:
+    """Delete the files of a table that another has replaced; whether there were any."""
+    return delete_folder(spark, folder)
+
+
+def footers(spark: SparkSession, folder: str, columns: list[str]) -> DataFrame:
+    """(path, row_group, rows, bounds) of the parquet files below ``folder``: the least and greatest value of each column as text.
+
+    Only footers are read, by the tasks; ``bounds`` maps a column to its two values, where the footer has them.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path in batch["path"].to_pylist():
+                meta = open_footer(path)
+                at = {meta.schema.column(i).name: i for i in range(len(meta.schema))}
+                for g in range(meta.num_row_groups):
+                    held = {c: meta.row_group(g).column(at[c]).statistics for c in columns if c in at}
+                    out.append((path, g, meta.row_group(g).num_rows, [(c, {"lo": str(s.min), "hi": str(s.max)}) for c, s in held.items() if s is not None and s.has_min_max]))
+            names = ["path", "row_group", "rows", "bounds"]
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.map_(pa.string(), pa.struct([("lo", pa.string()), ("hi", pa.string())]))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names)
+
+    return files.mapInArrow(run, "path string, row_group int, rows bigint, bounds map<string, struct<lo: string, hi: string>>")
+
+
+def open_footer(path: str) -> pq.FileMetaData:
+    """The footer of a parquet file, by its address on whatever file system it is."""
+    system, inner = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    with system.open_input_file(inner) as f:
+        return pq.read_metadata(f)
+
+
+def skipping(spark: SparkSession, folder: str, wanted: dict[str, str]) -> DataFrame:
+    """(files, files_read, groups, groups_read, rows_read): what a reader of rows with these text values can't skip."""
+    hit = F.lit(True)
+    for c, v in wanted.items():
+        b = F.col("bounds")[c]
+        hit = hit & F.coalesce((b["lo"] <= v) & (b["hi"] >= v), F.lit(True))
+    found = footers(spark, folder, list(wanted)).withColumn("_hit", hit)
+    return found.agg(
+        F.count_distinct("path").alias("files"), F.count_distinct(F.when(F.col("_hit"), F.col("path"))).alias("files_read"), F.count("*").alias("groups"), F.count_if("_hit").alias("groups_read"),
+        F.coalesce(F.sum(F.when(F.col("_hit"), F.col("rows"))), F.lit(0)).alias("rows_read"),
+    )
+
+
 def explain_timed(df: DataFrame) -> tuple[str, float, int]:
     """(formatted plan, seconds, rows) of running ``df`` once."""
     began = time.perf_counter()

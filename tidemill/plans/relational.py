@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,10 @@ from tidemill.functions.text import tidy
 from tidemill.operators.dedup import duplicate_rate, keep_best, keep_first
 from tidemill.operators.layout import probe
 from tidemill.operators.sized import skew_join
-from tidemill.operators.skew import merge_join, salted_join
+from tidemill.operators.skew import merge_join, salted_join, task_sizes
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
+from tidemill.sources.scan import literal
 from tidemill.sources.tables import spread, table
 
 REGISTRY = Registry()
@@ -71,12 +74,18 @@ def category_revenue_preaggregated(spark: SparkSession, folder: str) -> DataFram
 
 
 SQL_CITIES = "(values " + ", ".join(f"('{c}', {b})" for c, b in CITIES) + ") s(city, bps)"
-SQL_SURCHARGE = f"""select delivery_city, count(*) orders, sum(total_amount * bps)::bigint surcharge_bps
-from (select {sql_tidy("delivery_city")} delivery_city, total_amount from raw_orders) join {SQL_CITIES} on city = delivery_city group by delivery_city"""
+SQL_HASH = "base"
+for _ in range(100):
+    SQL_HASH = f"sha256({SQL_HASH})"
+SQL_SURCHARGE = f"""select delivery_city, count(*) orders, sum(total_amount * bps)::bigint surcharge_bps, min(h) least_hash from (
+  select *, {SQL_HASH} h from (select delivery_city, total_amount, bps, concat_ws('|', order_id, total_amount, bps) base
+    from (select order_id, {sql_tidy("delivery_city")} delivery_city, total_amount from raw_orders) join {SQL_CITIES} on city = delivery_city)
+) group by delivery_city"""
+SALTS = 24
 
 
 def _cities(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CITIES, "delivery_city string, bps bigint")
+    return literal(spark, CITIES, "delivery_city string, bps bigint")
 
 
 def _by_city(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,36 +93,36 @@ def _by_city(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _surcharge(joined: DataFrame) -> DataFrame:
-    return joined.groupBy("delivery_city").agg(F.count("*").alias("orders"), F.sum(F.col("total_amount") * F.col("bps")).alias("surcharge_bps"))
+    """A hundred rounds of SHA-256 on every joined row, so that a task's rows are its time."""
+    hashed = joined.withColumn("h", integrity_hash([F.col("order_id"), F.col("total_amount"), F.col("bps")]))
+    return hashed.groupBy("delivery_city").agg(F.count("*").alias("orders"), F.sum(F.col("total_amount") * F.col("bps")).alias("surcharge_bps"), F.min("h").alias("least_hash"))
 
 
 @REGISTRY.add("city_join_merge", SQL_SURCHARGE)
 def city_join_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The baseline: a city's rows are joined, and hashed, in one task."""
     return _surcharge(merge_join(_by_city(spark, folder), _cities(spark), ["delivery_city"]))
 
 
 @REGISTRY.add("city_join_salted", SQL_SURCHARGE)
 def city_join_salted(spark: SparkSession, folder: str) -> DataFrame:
-    return _surcharge(salted_join(_by_city(spark, folder), _cities(spark), ["delivery_city"], 24, F.col("order_id")))
+    """The same with each city over ``SALTS`` tasks."""
+    return _surcharge(salted_join(_by_city(spark, folder), _cities(spark), ["delivery_city"], SALTS, F.col("order_id")))
 
 
-SQL_HASH = "base"
-for _ in range(100):
-    SQL_HASH = f"sha256({SQL_HASH})"
+@REGISTRY.add("skew_task_sizes")
+def skew_task_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """(form, least, median, p95, most, ratio): rows a task of both joins; the salted one has no task far above the others."""
+    rows = _by_city(spark, folder)
+    forms = {"merge": merge_join(rows, _cities(spark), ["delivery_city"]), "salted": salted_join(rows, _cities(spark), ["delivery_city"], SALTS, F.col("order_id"))}
+    return reduce(DataFrame.unionByName, [task_sizes(df).withColumn("form", F.lit(n)) for n, df in forms.items()])
 
 
-@REGISTRY.add(
-    "integrity_hash",
-    f"""select delivery_city, count(*) orders, min(h) least_hash from (
-  select delivery_city, {SQL_HASH} h from (select delivery_city, concat_ws('|', order_id, total_amount, bps) base
-    from (select order_id, {sql_tidy("delivery_city")} delivery_city, total_amount from raw_orders) join {SQL_CITIES} on city = delivery_city)
-) group by delivery_city""",
-)
+@REGISTRY.add("integrity_hash", f"select delivery_city, orders, least_hash from ({SQL_SURCHARGE})")
 def integrity_hash_by_city(spark: SparkSession, folder: str) -> DataFrame:
-    """A hundred rounds of SHA-256 on every joined row; the dimension is a literal of eight rows, so it is broadcast."""
+    """The hashes without a shuffle of rows; the dimension is a literal of eight rows, so it is broadcast."""
     joined = spread(_by_city(spark, folder)).join(F.broadcast(_cities(spark)), "delivery_city")
-    hashed = joined.withColumn("h", integrity_hash([F.col("order_id"), F.col("total_amount"), F.col("bps")]))
-    return hashed.groupBy("delivery_city").agg(F.count("*").alias("orders"), F.min("h").alias("least_hash"))
+    return _surcharge(joined).drop("surcharge_bps")
 
 
 @REGISTRY.add(
@@ -236,6 +245,16 @@ def warehouse_probe(spark: SparkSession, folder: str) -> DataFrame:
     return probe(orders, at & (tidy("delivery_city") == "hoa kiet"), "total_amount")
 
 
+SUBSET = ["order_id", "customer_id", "delivery_city", "order_time", "status", "total_amount"]
+
+
+@REGISTRY.add("warehouse_subset", "select least(count(*), 5000) \"rows\", 6 columns from raw_orders")
+def warehouse_subset(spark: SparkSession, folder: str) -> DataFrame:
+    """A load of any 5,000 orders, six columns each: the scan reads these columns, and ends when it has as many rows."""
+    some = table(spark, folder, "raw_orders").select(*SUBSET).limit(5000)
+    return some.agg(F.count("*").alias("rows")).withColumn("columns", F.lit(len(some.columns)))
+
+
 @REGISTRY.add("sample_orders", "select order_id, status from (select distinct order_id, status from raw_orders) order by md5(order_id || '/' || coalesce(status, '')), order_id, status limit 500")
 def sample_orders(spark: SparkSession, folder: str) -> DataFrame:
     """A sample of exactly 500 distinct rows, drawn by hash and so alike in every run."""

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import tidy
-from tidemill.operators.layout import compact, probe, zorder
+from tidemill.operators.layout import compact, probe, skipping, vacuum, zorder
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
 from tidemill.plans.relational import items, menu_items
-from tidemill.session import delete_folder, shared_folder
+from tidemill.session import shared_folder
 from tidemill.sources.scan import footer_schemas, has_column, inventory, read_bronze
 from tidemill.sources.sinks import replace_table, write_partitions, write_small_files, write_versions
 from tidemill.sources.tables import table
@@ -81,23 +82,56 @@ def _condition():
 SQL_PROBE = f"select count(*) \"rows\", coalesce(sum(total_amount), 0)::bigint total from raw_orders where {sql_tidy('delivery_city')} = 'hoa kiet' and {sql_tidy('restaurant_id')} = 'rst000001'"
 
 
+def small_files(spark: SparkSession, folder: str) -> str:
+    out = shared_folder(spark, "small")
+    write_small_files(_orders(spark, folder), out, 200)
+    return out
+
+
+def compacted(spark: SparkSession, small: str) -> str:
+    out = shared_folder(spark, "large")
+    compact(spark, small, out)
+    return out
+
+
+def clustered(spark: SparkSession, folder: str) -> str:
+    out = shared_folder(spark, "zorder")
+    zorder(_orders(spark, folder), ["delivery_city", "restaurant_id"], 16).write.mode("append").parquet(out)
+    return out
+
+
 @REGISTRY.add("zorder_probe", SQL_PROBE)
 def zorder_probe(spark: SparkSession, folder: str) -> DataFrame:
     """The probe over files clustered by city and restaurant."""
-    out = shared_folder(spark, "zorder")
-    zorder(_orders(spark, folder), ["delivery_city", "restaurant_id"], 16).write.mode("append").parquet(out)
-    return probe(spark.read.parquet(out), _condition(), "total_amount")
+    return probe(spark.read.parquet(clustered(spark, folder)), _condition(), "total_amount")
 
 
 @REGISTRY.add("compaction_probe", SQL_PROBE)
 def compaction_probe(spark: SparkSession, folder: str) -> DataFrame:
-    """The probe over files that were many and small, after compaction."""
-    small, large = shared_folder(spark, "small"), shared_folder(spark, "large")
-    write_small_files(_orders(spark, folder), small, 40)
-    compact(spark, small, large)
+    """The probe over files that were many and small, after compaction; the small ones are deleted."""
+    small = small_files(spark, folder)
+    large = compacted(spark, small)
+    vacuum(spark, small)
     return probe(spark.read.parquet(large), _condition(), "total_amount")
 
 
+@REGISTRY.add("layout_probes", f"select layout, p.* from ({SQL_PROBE}) p, (values ('small files'), ('compacted'), ('clustered')) l(layout)")
+def layout_probes(spark: SparkSession, folder: str) -> DataFrame:
+    """The same answer before and after compaction and clustering."""
+    small = small_files(spark, folder)
+    places = {"small files": small, "compacted": compacted(spark, small), "clustered": clustered(spark, folder)}
+    return reduce(DataFrame.unionByName, [probe(spark.read.parquet(at), _condition(), "total_amount").withColumn("layout", F.lit(n)) for n, at in places.items()])
+
+
+@REGISTRY.add("layout_report")
+def layout_report(spark: SparkSession, folder: str) -> DataFrame:
+    """(layout, files, files_read, groups, groups_read, rows_read): what the probe's reader can't skip, from footers."""
+    small = small_files(spark, folder)
+    places = {"small files": small, "compacted": compacted(spark, small), "clustered": clustered(spark, folder)}
+    wanted = {"delivery_city": "hoa kiet", "restaurant_id": "rst000001"}
+    return reduce(DataFrame.unionByName, [skipping(spark, at, wanted).withColumn("layout", F.lit(n)) for n, at in places.items()])
+
+
 @REGISTRY.add(
     "bucketed_join",
     f"""select m.category, count(*) items from raw_order_items i join (select {sql_tidy("menu_item_id")} id, last({sql_tidy("category")} order by ingested_at nulls first, {sql_tidy("category")} nulls first) category

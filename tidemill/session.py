@@ -19,8 +19,13 @@ DEFAULTS = {
 }
 
 
-def build_session(app: str = "tidemill", master: str | None = None, conf: dict[str, str] | None = None) -> SparkSession:
-    """A session with UTC times, AQE, Arrow and per-partition overwrite; ``conf`` wins over the defaults."""
+def build_session(app: str = "tidemill", master: str | None = None, conf: dict[str, str] | None = None, event_log: str | None = None) -> SparkSession:
+    """A session with UTC times, AQE, Arrow and per-partition overwrite; ``conf`` wins over the defaults.
+
+    ``event_log`` names a shared folder for the log that a history server reads.
+    """
+    if event_log:
+        conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": event_log, "spark.eventLog.rolling.enabled": "true"} | (conf or {})
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)

@@ -96,13 +96,14 @@ def footer_schemas(spark: SparkSession, folder: str, column: str) -> DataFrame:
     from collections.abc import Iterator
 
     import pyarrow as pa
-    import pyarrow.parquet as pq
+
+    from tidemill.operators.layout import open_footer
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [pq.read_schema(p.removeprefix("file:")).names for p in batch["path"].to_pylist()]
+            names = [open_footer(p).schema.to_arrow_schema().names for p in batch["path"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["path"], pa.array([len(n) for n in names], pa.int32()), pa.array([column in n for n in names])], ["path", "columns", "has_column"])
 
     part = F.element_at(F.split("path", "/"), -2)

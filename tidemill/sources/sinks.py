@@ -69,6 +69,17 @@ def mirror_jdbc(df: DataFrame, url: str, relation: str, batch: int = 10_000, par
     df.coalesce(parts).write.format("jdbc").option("url", url).option("dbtable", relation).option("batchsize", batch).option("truncate", True).mode("overwrite").save()
 
 
+def bulk_load(df: DataFrame, url: str, relation: str, key: str, batch: int = 10_000, parts: int = 8) -> None:
+    """Replace a relation of a database in batches, then index it by its key: the index is built once, over all rows."""
+    mirror_jdbc(df, url, relation, batch, parts)
+    connection = df.sparkSession._jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        quoted = connection.getMetaData().getIdentifierQuoteString()
+        connection.createStatement().execute(f"create index {relation.replace('.', '_')}_{key} on {relation} ({quoted}{key}{quoted})")
+    finally:
+        connection.close()
+
+
 def write_csv(df: DataFrame, path: str, columns: dict[str, str]) -> None:
     """CSV of exactly these columns, missing ones null: what a bulk load takes."""
     reindex(df, columns).write.mode("overwrite").option("header", True).csv(path)
