@@ -137,10 +137,12 @@ def pack(documents: DataFrame, capacities: DataFrame, buckets: int = BUCKETS, to
 def split_documents(packed: DataFrame) -> DataFrame:
     """(capacity_tokens, doc_id, containers_from, containers_to) of documents that stand in more than one container.
 
-    As a document is split only if it exceeds the capacity, these are the longer ones.
+    As a document is split only if it exceeds the capacity, these are the longer ones; of two with one doc_id each has its row.
     """
-    spans = packed.where("pieces > 1").groupBy("capacity_tokens", "doc_id").agg(F.min("container_id").alias("containers_from"), F.max("container_id").alias("containers_to"))
-    return spans.where("containers_from < containers_to")
+    spans = packed.where("pieces > 1").groupBy("capacity_tokens", "doc_id").agg(
+        F.min("container_id").alias("containers_from"), F.max("container_id").alias("containers_to"), F.count_if(F.col("piece") == 0).cast("int").alias("_documents")
+    )
+    return spans.where("containers_from < containers_to").withColumn("_documents", F.explode(F.array_repeat(F.lit(1), F.col("_documents")))).drop("_documents")
 
 
 def audit(packed: DataFrame) -> DataFrame:
