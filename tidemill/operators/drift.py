@@ -223,8 +223,9 @@ def _roots(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def lines_once(files: DataFrame) -> DataFrame:
-    """``files`` (feed_id, file_no, file_id, line_no, record) with a record repeated in its file once, at its first line."""
-    each = files.withColumn("_h", F.sha2("record", 256)).groupBy("feed_id", "file_no", "_h").agg(F.min_by(F.struct("file_id", "line_no", "record"), "line_no").alias("_r"))
+    """``files`` (feed_id, file_no, file_id, line_no, record) with a record repeated in its file once, at its first line, then least file_id, nulls last."""
+    order = F.struct(F.col("line_no").isNull(), "line_no", F.col("file_id").isNull(), "file_id")
+    each = files.withColumns({"feed_id": tidy("feed_id"), "_h": F.sha2("record", 256)}).groupBy("feed_id", "file_no", "_h").agg(F.min_by(F.struct("file_id", "line_no", "record"), order).alias("_r"))
     return each.select("feed_id", "file_no", "_r.*")
 
 

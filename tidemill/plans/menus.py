@@ -62,11 +62,10 @@ SQL_UNIFIED = (
   union all
   select w.feed_id, w.file_no, w."name", x.prior, x.file_no from walk w, lateral (select prior, ev.file_no from ev where ev.feed_id = w.feed_id and ev."name" = w.cur and ev.file_no < w.upto order by ev.file_no desc limit 1) x where x.prior is not null
 ), roots as (select feed_id, file_no, "name", arg_min(cur, upto) root from walk group by all
-), l as (select feed_id, file_no, min(line_no) line_no from rec where r is not null group by feed_id, file_no, r::varchar
-), u as (
-  select v.feed_id, v.file_no, rec.file_id, v.line_no, v.item, root, max(case when kind is null then null when kind = 'double' then (val::double)::varchar else val ->> '$' end) val
-  from v join l using (feed_id, file_no, line_no) join rec using (feed_id, file_no, line_no) join roots using (feed_id, file_no, "name") group by all
-), m as (select file_id, line_no, item, map_from_entries(list((root, val) order by root)) f from u group by file_id, line_no, item)
+), l as (select * from (select *, row_number() over (partition by feed_id, file_no, r::varchar order by line_no nulls last, file_id nulls last) rn from rec where r is not null) where rn = 1
+), x2 as (select feed_id, file_no, file_id, line_no, {sql_tidy("l.r->>'$.menu_item_id'")} item, j.key "name", case j.type when 'NULL' then null when 'DOUBLE' then (j.value::double)::varchar else j.value ->> '$' end val from l, json_each(l.r) j
+), u as (select feed_id, file_no, file_id, line_no, item, root, max(val) val from x2 join roots using (feed_id, file_no, "name") group by all
+), m as (select file_id, line_no, item, map_from_entries(list((root, val) order by root)) f from u group by feed_id, file_no, file_id, line_no, item)
 select file_id, line_no, upper(item) menu_item_id, upper({sql_tidy("f['restaurant_id']")}) restaurant_id, f['name'] "name", f['category'] category, try_cast(f['price'] as double) price,
   case when lower(f['is_available']) in ('true', 'yes', '1', '1.0') then true when lower(f['is_available']) in ('false', 'no', '0', '0.0') then false end is_available,
   try_cast(f['spice_level'] as double) spice_level, array_to_string(list_sort(map_keys(f)), ',') all_names, len(list_filter(map_values(f), lambda x: x is not null)) given from m"""
