@@ -2,8 +2,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from tidemill.operators.history import Layout, append, change_counts, first_load, moments, split_by_rate, view
-from tidemill.operators.ordered import place
+from tidemill.operators.history import Layout, append, change_counts, first_load, paired, split_by_rate, view
 
 T0 = datetime(2026, 1, 1)
 SCHEMA = "k string, at timestamp_ntz, a string, b string, p int"
@@ -16,9 +15,9 @@ def shown(found):
 
 def build(spark, rows, groups=None, range_rows=20):
     df = spark.createDataFrame(rows, SCHEMA)
-    placed = place(moments(df, "k", "at", ["a", "b"], ["p"]), ["k"], ["at"], range_rows, unique=True)
-    layout = Layout("k", "at", groups or split_by_rate(change_counts(placed, ["a", "b"])), ["p"])
-    seen, sats = first_load(placed, layout)
+    pairs = paired(df, "k", "at", ["a", "b"], ["p"], range_rows)
+    layout = Layout("k", "at", groups or split_by_rate(change_counts(pairs, ["a", "b"])), ["p"])
+    seen, sats = first_load(pairs, layout)
     return layout, seen, sats, shown(view(sats, layout, TYPES, range_rows))
 
 

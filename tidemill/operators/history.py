@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemill.operators.ordered import RANGE_ROWS, Placed, place
 from tidemill.operators.sized import skew_join
+from tidemill.session import written
 
 
 @dataclass
@@ -31,13 +32,13 @@ class Layout:
         return [f"_d{i}" for i in range(len(self.groups))]
 
 
-def hash_diff(cols: list[str]) -> Column:
-    """A digest (16 bytes) of attributes; null differs from every text, and texts can't run into each other."""
-    return F.unhex(F.md5(_payload(cols).cast("binary")))
+def hash_diff(cols: list[str], of: str = "") -> Column:
+    """A digest (16 bytes) of attributes, those of the row or of its struct ``of``; null differs from every text, and texts can't run into each other."""
+    return F.unhex(F.md5(_payload(cols, of).cast("binary")))
 
 
-def _payload(cols: list[str]) -> Column:
-    return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+def _payload(cols: list[str], of: str = "") -> Column:
+    return F.to_json(F.struct(*[F.col(f"{of}.{c}" if of else c).alias(c) for c in cols]), {"ignoreNullFields": "false"})
 
 
 def moments(readings: DataFrame, key: str, at: str, cols: list[str], priority: list[str]) -> DataFrame:
@@ -50,9 +51,23 @@ def moments(readings: DataFrame, key: str, at: str, cols: list[str], priority: l
     return readings.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(key, at).agg(best.alias("_state")).select(key, at, *[F.col(f"_state.{c}").alias(c) for c in [*cols, *priority]])
 
 
-def change_counts(placed: Placed, cols: list[str]) -> dict[str, int]:
+def paired(readings: DataFrame, key: str, at: str, cols: list[str], priority: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The moments, each with struct ``_before`` of the attributes at its key's moment before, kept in the shared folder.
+
+    Readings of a key are counted first. Unless one has more than ``range_rows``, rows are brought together by key
+    once, for the moments and for their order alike; else moments are made by (key, moment) and ordered over ranges.
+    """
+    known = readings.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, at, *cols, *priority)
+    most = known.groupBy(key).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if most <= range_rows:
+        placed = Placed(moments(known.repartition(key), key, at, cols, priority), [key], [at], False)
+    else:
+        placed = place(moments(known, key, at, cols, priority), [key], [at], range_rows, unique=True)
+    return written(placed.neighbour(cols, "_before").plain(), "moments")
+
+
+def change_counts(pairs: DataFrame, cols: list[str]) -> dict[str, int]:
     """How often each attribute changes from a key's moment to the next: one number an attribute."""
-    pairs = placed.neighbour(cols, "_before").rows
     row = pairs.where("_before is not null").agg(*[F.count_if(~F.col(c).eqNullSafe(F.col(f"_before.{c}"))).alias(c) for c in cols]).first()
     return {c: row[c] or 0 for c in cols}
 
@@ -79,11 +94,13 @@ def _long(rows: DataFrame, layout: Layout, attributes: bool) -> DataFrame:
     return rows.select(layout.key, layout.at, *layout.priority, F.inline(F.array(*each)))
 
 
-def first_load(placed: Placed, layout: Layout) -> tuple[DataFrame, DataFrame]:
-    """(seen, satellites) of an empty store, from the moments placed by (key, at)."""
-    own = placed.select(layout.key, layout.at, *layout.priority, *[c for g in layout.groups for c in g], *[hash_diff(g).alias(d) for d, g in zip(layout.digests, layout.groups, strict=True)])
-    seen = own.plain().select(layout.key, layout.at, *layout.priority, *layout.digests)
-    return seen, _long(own.neighbour(layout.digests, "_before").rows, layout, True).where("is_new").drop("is_new")
+def first_load(pairs: DataFrame, layout: Layout) -> tuple[DataFrame, DataFrame]:
+    """(seen, satellites) of an empty store, from ``paired`` moments."""
+    own = pairs.withColumns({d: hash_diff(g) for d, g in zip(layout.digests, layout.groups, strict=True)})
+    seen = own.select(layout.key, layout.at, *layout.priority, *layout.digests)
+    before = F.struct(*[hash_diff(g, "_before").alias(d) for d, g in zip(layout.digests, layout.groups, strict=True)])
+    compared = own.withColumn("_before", F.when(F.col("_before").isNotNull(), before))
+    return seen, _long(compared, layout, True).where("is_new").drop("is_new")
 
 
 def append(seen: DataFrame, satellites: DataFrame, readings: DataFrame, layout: Layout, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:

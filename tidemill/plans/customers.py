@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.text import second_text, tidy
-from tidemill.operators.history import Layout, append, change_counts, first_load, moments, split_by_rate, view
-from tidemill.operators.ordered import place
+from tidemill.operators.history import Layout, append, change_counts, first_load, paired, split_by_rate, view
 from tidemill.plans.events import sql_tidy
 from tidemill.plans.registry import Registry
 from tidemill.session import cut, shared_folder
@@ -48,9 +47,9 @@ with r as (
 
 def load(rows: DataFrame) -> tuple[Layout, DataFrame, DataFrame]:
     """A first load: satellites split by the change rates found, and the rows of both tables."""
-    placed = place(moments(rows, "customer_id", "at", ATTRIBUTES, PRIORITY), ["customer_id"], ["at"], unique=True)
-    layout = Layout("customer_id", "at", split_by_rate(change_counts(placed, ATTRIBUTES)), PRIORITY)
-    return layout, *first_load(placed, layout)
+    pairs = paired(rows, "customer_id", "at", ATTRIBUTES, PRIORITY)
+    layout = Layout("customer_id", "at", split_by_rate(change_counts(pairs, ATTRIBUTES)), PRIORITY)
+    return layout, *first_load(pairs, layout)
 
 
 @REGISTRY.add(
