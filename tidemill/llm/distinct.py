@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemill.functions.text import tidy
 from tidemill.llm.bitmaps import bits_for, estimates, hashed, leveled
@@ -39,9 +40,9 @@ def coded(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataF
         hashed(tidy("restaurant_id")).alias("restaurant_id"),
     )
     each = cut(orders.select(*DIMENSIONS).distinct())
-    pairs = surrogate_keys(cut(each.select(*DIMENSIONS[1:]).distinct()), "pid", DIMENSIONS[1:])
-    groups = cut(surrogate_keys(cut(skew_join(each, pairs, DIMENSIONS[1:])), "gid", DIMENSIONS))
-    groups = groups.withColumns({c: F.col(c).cast("int") for c in ("gid", "pid")})
+    # a pair goes by the least code of its days, which are few
+    numbered = surrogate_keys(each, "gid", DIMENSIONS).withColumn("gid", F.col("gid").cast("int"))
+    groups = cut(numbered.withColumn("pid", F.min("gid").over(Window.partitionBy(*DIMENSIONS[1:]))))
     named = skew_join(orders, groups, DIMENSIONS, salt_from=F.xxhash64("order_id")).select("order_id", "gid", "pid", "customer_id", "restaurant_id")
     items = table(spark, folder, "raw_order_items").select(tidy("order_id").alias("order_id"), hashed(tidy("menu_item_id")).alias("menu_item_id"))
     bought = items.where("order_id is not null and menu_item_id is not null").join(named.select("order_id", "gid", "pid"), "order_id").drop("order_id")
